@@ -33,6 +33,11 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
+def let(value: Column, body) -> Column:
+    """Name a sub-expression so that using it many times does not copy it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Topology:
     """Workspace layout compiled to column expressions."""
 
@@ -57,20 +62,28 @@ class Topology:
 
     def split(self, path: Column) -> Column:
         """Absolute path -> struct(repo, rel); both null outside every known root."""
-        clean = normalise_path(path)
         mark = f"/{self.marker}/"
-        head = F.substring_index(clean, mark, 1)
-        tail = F.substr(clean, F.length(head) + len(mark) + 1)
-        inside = F.when(F.contains(tail, F.lit("/")),
-                        F.substr(tail, F.instr(tail, "/") + 1)).otherwise("")
-        # A head holds no marker, so it is resolved by the plain rules.
-        owner = F.coalesce(self._plain(head)["repo"], F.nullif(basename(head), F.lit("")))
-        nested = F.struct(owner.alias("repo"), inside.alias("rel"))
-        scratch = self._scratch(clean)
-        found = F.when(scratch, _pair(F.lit(SCRATCH_REPO), _null()))
-        found = found.when(F.contains(clean, F.lit(mark)), nested)
-        found = found.otherwise(self._plain(clean))
-        return F.when(F.startswith(path, F.lit("/")), found).otherwise(_pair(_null(), _null()))
+        outside = _pair(_null(), _null())
+
+        def resolve(clean: Column) -> Column:
+            # Below a worktree marker the part before it names the repository.
+            nested = F.contains(clean, F.lit(mark))
+            head = F.when(nested, F.substring_index(clean, mark, 1)).otherwise(clean)
+            return let(F.struct(clean.alias("clean"), head.alias("head"), nested.alias("nested")),
+                       lambda v: let(F.struct(v.alias("v"), self._plain(v["head"]).alias("own")),
+                                     combine))
+
+        def combine(w: Column) -> Column:
+            clean, head, own = w["v"]["clean"], w["v"]["head"], w["own"]
+            tail = F.substr(clean, F.length(head) + len(mark) + 1)
+            inside = F.when(F.contains(tail, F.lit("/")),
+                            F.substr(tail, F.instr(tail, "/") + 1)).otherwise("")
+            owner = F.coalesce(own["repo"], F.nullif(basename(head), F.lit("")))
+            return (F.when(self._scratch(clean), _pair(F.lit(SCRATCH_REPO), _null()))
+                    .when(w["v"]["nested"], _pair(owner, inside)).otherwise(own))
+
+        return F.when(F.startswith(path, F.lit("/")), let(normalise_path(path), resolve)) \
+            .otherwise(outside)
 
     def _scratch(self, clean: Column) -> Column:
         hits = [F.startswith(clean, F.lit(p)) for p in self.scratch]
@@ -97,17 +110,19 @@ class Topology:
 
     def surface(self, repo: Column, rel: Column) -> Column:
         """Repo-relative path -> coarse area; only a folder can become a label."""
-        parts = F.split(rel, "/")
+        bound = F.struct(repo.alias("repo"), rel.alias("rel"), F.split(rel, "/").alias("parts"))
+        return let(bound, lambda v: self._surface(v["repo"], v["rel"], v["parts"]))
+
+    def _surface(self, repo: Column, rel: Column, parts: Column) -> Column:
         fallback = F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(ROOT_SURFACE)
-        by_repo = []
-        shared = [_rule(p, label, rel, parts) for p, label in self.rules.get("*", [])]
+        shared = F.coalesce(*[_rule(p, label, rel, parts) for p, label in
+                              self.rules.get("*", [])], fallback)
+        own = None
         for name, rules in self.rules.items():
-            if name != "*":
-                own = [_rule(p, label, rel, parts) for p, label in rules]
-                by_repo.append((name, F.coalesce(*own, *shared, fallback)))
-        general = F.coalesce(*shared, fallback)
-        chosen = reduce(lambda acc, nr: F.when(repo == nr[0], nr[1]).otherwise(acc),
-                        by_repo, general)
+            if name != "*" and rules:
+                label = F.coalesce(*[_rule(p, text, rel, parts) for p, text in rules])
+                own = F.when(repo == name, label) if own is None else own.when(repo == name, label)
+        chosen = shared if own is None else F.coalesce(own, shared)
         return (F.when(repo.isNull(), _null())
                 .when(repo == SCRATCH_REPO, SCRATCH_SURFACE)
                 .when(F.coalesce(rel, F.lit("")) == "", ROOT_SURFACE)
@@ -115,9 +130,8 @@ class Topology:
 
     def classify(self, path: Column) -> Column:
         """Absolute path -> struct(repo, surface)."""
-        found = self.split(path)
-        return F.struct(found["repo"].alias("repo"),
-                        self.surface(found["repo"], found["rel"]).alias("surface"))
+        return let(self.split(path), lambda v: F.struct(
+            v["repo"].alias("repo"), self.surface(v["repo"], v["rel"]).alias("surface")))
 
     # -- turns ---------------------------------------------------------------
 
@@ -178,7 +192,7 @@ def normalise_path(path: Column) -> Column:
     Segments are folded left to right, a '..' removing the segment before it.
     """
     folded = F.aggregate(
-        F.filter(F.split(path, "/"), lambda s: (s != "") & (s != ".")),
+        F.filter(F.split(path, "/"), lambda s: ~s.isin("", ".")),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(
             F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))

@@ -252,8 +252,9 @@ def p22_headroom(spark, sf):
 @query("p22_calendar_quota", with_turns("""
 , u AS (SELECT person, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 7 AS week,
   count(*) AS used FROM turns GROUP BY ALL)
-SELECT person, max(used) AS peak_used, quantile_cont(CAST(used AS DOUBLE), 0.9) AS p90_used,
+SELECT person, max(used) AS peak_used, round_even(quantile_cont(CAST(used AS DOUBLE), 0.9), 6) AS p90_used,
   CAST(10000 AS DOUBLE) AS quota, 'published' AS basis,
   round_even(max(used) * 100.0::DOUBLE / 10000, 1) AS peak_pct FROM u GROUP BY 1"""))
 def p22_calendar(spark, sf):
-    return P.quota_headroom(P.calendar_usage(turns(spark, sf), "person", 7), 10000)
+    used = P.calendar_usage(turns(spark, sf), "person", 7)
+    return P.quota_headroom(used, 10000).withColumn("p90_used", F.bround("p90_used", 6))
