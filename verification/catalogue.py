@@ -5,3 +5,4 @@ from verification import rollup_queries  # noqa: F401
 from verification import cube_queries  # noqa: F401
 from verification import attribution_queries  # noqa: F401
 from verification import detector_queries  # noqa: F401
+from verification import trend_queries  # noqa: F401
