@@ -7,3 +7,4 @@ from verification import attribution_queries  # noqa: F401
 from verification import detector_queries  # noqa: F401
 from verification import trend_queries  # noqa: F401
 from verification import source_queries  # noqa: F401
+from verification import privacy_queries  # noqa: F401
