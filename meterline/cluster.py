@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A side is broadcast only when it is proven to hold at most this many rows.
 BROADCAST_ROWS = 100_000
@@ -57,6 +60,15 @@ def write_and_read(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
+    """A configuration table as a local relation: no task runs to read it."""
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows)) if rows else [[] for _ in kind.fields]
+    data = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(data, schema=arrow), kind)
+
+
 def is_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` provably has at most ``limit`` rows.
 

@@ -30,17 +30,14 @@ _OFFSET = r"(Z|[+-]\d{2}:?\d{2})?$"
 def iso_instant(raw: Column) -> Column:
     """ISO-8601 stamp -> timestamp; bare stamps are UTC and bad ones null.
 
-    Stamps written to the hour or the minute are completed first, because the
-    cast wants seconds.
+    Full stamps are cast as they are. Stamps written to the hour or the minute
+    are completed first, because the cast wants seconds.
     """
-    full = raw.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}.*)?$")
-    hour = raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}" + _OFFSET)
-    minute = raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}" + _OFFSET)
-    text = (F.when(full, raw)
-            .when(minute, F.concat(F.left(raw, F.lit(16)), F.lit(":00"), F.substr(raw, F.lit(17))))
-            .when(hour, F.concat(F.left(raw, F.lit(13)), F.lit(":00:00"),
-                                 F.substr(raw, F.lit(14)))))
-    return F.try_to_timestamp(text)
+    whole = F.try_to_timestamp(F.when(F.length(raw) >= 19, raw))
+    minute = F.regexp_replace(raw, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})" + _OFFSET, "$1:00$2")
+    hour = F.regexp_replace(minute, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})" + _OFFSET, "$1:00:00$2")
+    dated = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), hour)
+    return F.coalesce(whole, F.try_to_timestamp(dated))
 
 
 def billing_hour(ts: Column, raw: Column) -> Column:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.operators.scan import CHUNK_ROWS, Scan, by_chunks, running
+from meterline.operators.scan import CHUNK_ROWS, Scan, by_chunks, hold, running
 
 # Tool names that change something, and tool names that only look.
 WRITE_TOOLS = ("Edit", "Write", "NotebookEdit", "MultiEdit", "apply_patch", "create_file",
@@ -288,17 +288,19 @@ def _fill(df: DataFrame, topology: Topology, order: list[str], chunk: str | None
         Scan("_p_any", "last", here), Scan("_n_any", "next", here)], chunk)
     df = df.withColumn("_repo", F.coalesce(here, "_p_real", "_n_real", "_p_any", "_n_any"))
     is_real = F.col("_repo").isNotNull() & ~topology.is_incidental(F.col("_repo"))
-    df = df.withColumn("_real", is_real)
+    df = hold(df.withColumn("_real", is_real), chunk)
     # A run of a real repo is not broken by incidental turns in between.
     repo_or_blank = F.coalesce("_repo", F.lit(""))
     df = running(df, keys, order, [
         Scan("_prev_real", "last_before", F.when(F.col("_real"), F.col("_repo"))),
         Scan("_prev", "last_before", repo_or_blank)], chunk)
+    df = hold(df, chunk)
     df = running(df, keys, order, [
         Scan("_run_real", "total", F.when(F.col("_real") & ~F.col("_repo").eqNullSafe(
             F.col("_prev_real")), 1).otherwise(0)),
         Scan("_run_any", "total", F.when(~repo_or_blank.eqNullSafe(F.col("_prev")), 1)
              .otherwise(0))], chunk)
+    df = hold(df, chunk)
     own = F.get("surfaces", F.lit(0))
     seen = lambda run, keep: F.when(own.isNotNull() & keep, F.struct(
         own.alias("own"), F.col(run).alias("run")))

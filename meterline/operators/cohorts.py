@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterline.cluster import lookup_join
+from meterline.cluster import lookup_join, write_and_read
 from meterline.functions.labels import blank_to_null, breakdown_label
 from meterline.operators.privacy import bucket
 from meterline.operators.scan import CHUNK_ROWS, Scan, by_chunks, running
@@ -306,6 +306,8 @@ def ranked(values: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     Equal values are counted first; the running count of distinct values is cut
     into chunks when a metric has many.
     """
+    # Read several times below: the people's values are stored, not recomputed.
+    values = write_and_read(values, "values")
     counts = values.groupBy("metric", "value").agg(F.count("*").alias("n"))
     below = by_chunks(counts, ["metric"], ["value"], lambda df, chunk: running(
         df, ["metric"], ["value"], [Scan("upto", "total", F.col("n"))], chunk), chunk_rows)

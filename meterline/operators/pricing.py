@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterline.cluster import lookup_join
+from meterline.cluster import BROADCAST_ROWS, lookup_join, small_table
 from meterline.config import CURRENCIES, PLANS, RateCard
 from meterline.functions.clock import billing_hour, billing_weekday, iso_instant
 from meterline.functions.models import card_name
@@ -44,6 +45,18 @@ class RateTables:
     fallback: dict
     rows: int | None = None
 
+    @cached_property
+    def lookup(self) -> DataFrame:
+        """Rates under every accepted spelling.
+
+        A configured card of known size is flattened once and kept as a local
+        relation; a derived card stays a plan and is joined by size.
+        """
+        plan = rate_lookup(self)
+        if self.rows is None or self.rows > BROADCAST_ROWS:
+            return plan
+        return plan.sparkSession.createDataFrame(plan.toArrow(), plan.schema)
+
     @classmethod
     def from_card(cls, spark: SparkSession, card: RateCard) -> "RateTables":
         base = [(m, r.get("vendor"), r.get("tier"), float(r["input"]), float(r["output"]),
@@ -57,10 +70,10 @@ class RateTables:
         speed = [(*k.rsplit(":", 1), _opt(v.get("input")), _opt(v.get("output")),
                   _opt(v.get("cache_read_mult"))) for k, v in card.speed_overrides.items()]
         return cls(
-            base=spark.createDataFrame(base, BASE_COLUMNS),
-            history=spark.createDataFrame(history, HISTORY_COLUMNS),
-            aliases=spark.createDataFrame(aliases, "alias string, target string"),
-            speed=spark.createDataFrame(
+            base=small_table(spark, base, BASE_COLUMNS),
+            history=small_table(spark, history, HISTORY_COLUMNS),
+            aliases=small_table(spark, aliases, "alias string, target string"),
+            speed=small_table(spark, 
                 speed, "speed_model string, speed_name string, s_input double, s_output double, "
                        "s_cache_read_mult double") if speed else None,
             windows=card.windows,
@@ -76,9 +89,9 @@ def _opt(value):
 
 def card_instant(raw: Column) -> Column:
     """A card boundary -> timestamp. It must carry a UTC offset; a bare time fails."""
-    checked = F.when(raw.rlike(OFFSET_PATTERN), raw).otherwise(
-        F.raise_error(F.concat(F.lit("rate-card time has no UTC offset: "), raw)))
-    return F.when(raw.isNotNull(), iso_instant(checked))
+    bare = F.raise_error(F.concat(F.lit("rate-card time has no UTC offset: "), raw))
+    return F.when(raw.isNull(), F.lit(None)).when(raw.rlike(OFFSET_PATTERN), iso_instant(raw)) \
+        .otherwise(bare.cast("timestamp"))
 
 
 def rate_versions(tables: RateTables) -> DataFrame:
@@ -154,7 +167,7 @@ def attach_rates(turns: DataFrame, tables: RateTables) -> DataFrame:
     Adds ``canonical``, ``is_priced``, ``rate_in``, ``rate_out``,
     ``rate_cache_mult``, ``window``, ``off_peak_mult`` and ``phase``.
     """
-    lookup = rate_lookup(tables)
+    lookup = tables.lookup
     facts = turns.withColumn("_name", card_name(F.col("model")))
     on = (facts["_name"] == lookup["name"]) & F.when(
         facts["ts"].isNotNull(),
@@ -308,7 +321,7 @@ def quota_windows(spark: SparkSession, plans: dict | None = None) -> DataFrame:
     rows = [(p, w["kind"], w.get("hours") or w.get("days"),
              "hours" if w["kind"] == "rolling" else "days", w.get("amount"))
             for p, v in (plans or PLANS).items() for w in v["windows"]]
-    return spark.createDataFrame(
+    return small_table(spark, 
         rows, "plan string, kind string, length int, unit string, amount long")
 
 
@@ -357,7 +370,7 @@ def card_violations(spark: SparkSession, card: RateCard, tables: RateTables | No
     """Structural problems of a card, one row each; empty means well-formed."""
     tables = tables or RateTables.from_card(spark, card)
     lines = lines if lines is not None else line_table(spark, card)
-    labs = labs if labs is not None else spark.createDataFrame(
+    labs = labs if labs is not None else small_table(spark, 
         list(card.labs.items()), "lab string, lab_label string")
     offset_ok = lambda c: F.coalesce(F.endswith(F.col(c), F.lit(zone)), F.lit(False))
     instant = lambda c: F.when(offset_ok(c), iso_instant(F.col(c)))
@@ -415,7 +428,7 @@ def card_violations(spark: SparkSession, card: RateCard, tables: RateTables | No
     ]
     mix = sum(card.reference_mix.values()) if card.reference_mix else 1.0
     if abs(mix - 1.0) > 0.001:
-        parts.append(spark.createDataFrame([("mix-does-not-sum-to-1", f"{mix:.4f}")],
+        parts.append(small_table(spark, [("mix-does-not-sum-to-1", f"{mix:.4f}")],
                                            "rule string, item string"))
     out = parts[0]
     for part in parts[1:]:
@@ -439,6 +452,6 @@ def line_table(spark: SparkSession, card: RateCard) -> DataFrame:
         for i, e in enumerate(entries):
             rows.append((line.get("id"), d, line.get("lab"), line.get("label"), line.get("tier"),
                          bool(line.get("headline")), i, e.get("model"), e.get("from")))
-    return spark.createDataFrame(
+    return small_table(spark, 
         rows, "line string, def int, lab string, label string, tier string, headline boolean, "
               "seq int, model string, line_from string")

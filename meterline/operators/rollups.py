@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterline.cluster import small_table
 from meterline.functions.clock import local_time
 from meterline.functions.labels import (MAIN_THREAD, PLACEHOLDER_MODEL, UNKNOWN_HOUR,
                                         blank_to_null, breakdown_label, cube_label)
@@ -138,8 +139,8 @@ def active_windows(priced: DataFrame, rates: RateTables) -> DataFrame:
                 & ~F.contains("window_name", F.lit("legacy")))
     found = hits.groupBy("window_name").agg(
         F.array_sort(F.collect_set(blank_to_null(F.col("provider")))).alias("providers"))
-    spec = priced.sparkSession.createDataFrame(
-        [(n, w.get("vendor"), [list(map(int, p)) for p in w.get("peak_utc") or []],
+    spec = small_table(
+        priced.sparkSession, [(n, w.get("vendor"), [list(map(int, p)) for p in w.get("peak_utc") or []],
           list(w["days"]) if w.get("days") else None, float(w.get("off_peak_mult", 1)))
          for n, w in rates.windows.items()],
         "name string, vendor string, peak_utc array<array<int>>, days array<int>, "
@@ -178,35 +179,37 @@ def session_facts(priced: DataFrame) -> DataFrame:
     """
     sid = F.coalesce(blank_to_null(F.col("session")), F.lit("unknown"))
     place = F.struct(F.coalesce(F.unix_micros("ts"), F.lit(-(2**62))), F.col("seq"))
-    first = lambda c: F.min_by(c, place).alias(c)
-    repo = blank_to_null(F.col("repo"))
-    model = blank_to_null(F.col("model"))
+    first_seen = ("workspace", "provider", "lane", "entrypoint", "branch")
+    counts = ("input", "output", "cache_create", "cache_read", "reads", "writes", "tool_calls")
+    repo, model = blank_to_null(F.col("repo")), blank_to_null(F.col("model"))
     context = F.coalesce("input", F.lit(0)) + F.coalesce("cache_read", F.lit(0)) \
         + F.coalesce("cache_create", F.lit(0))
-    keyed = priced.withColumn("_sid", sid)
-    facts = keyed.groupBy("_sid").agg(
-        *[first(c) for c in ("workspace", "provider", "lane", "entrypoint", "branch")],
+    # Per (session, area) first: areas are ranked from the same single pass.
+    per_area = priced.groupBy(sid.alias("session"), blank_to_null(F.col("surface"))
+                              .alias("area")).agg(
+        F.min(place).alias("seen"), F.min_by(F.struct(*first_seen), place).alias("opening"),
         F.min_by(repo, F.when(repo.isNotNull(), place)).alias("repo"),
+        F.min(F.when(repo.isNotNull(), place)).alias("repo_seen"),
         F.min("ts_local").alias("start"), F.max("ts_local").alias("end"),
         F.count("*").alias("turns"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input", "output", "cache_create",
-                                                           "cache_read")],
-        F.bround(F.sum("cost"), 4).alias("cost"),
-        F.array_sort(F.collect_set(F.when(model != PLACEHOLDER_MODEL, model))).alias("models"),
-        F.sum("reads").alias("reads"), F.sum("writes").alias("writes"),
-        F.sum("tool_calls").alias("tool_calls"),
-        F.count_if("sidechain").alias("sidechain_turns"),
-        F.greatest(F.max(context), F.lit(0)).alias("peak_context"))
-    areas = (keyed.filter(blank_to_null(F.col("surface")).isNotNull())
-             .groupBy("_sid", "surface").agg(F.count("*").alias("n"), F.min(place).alias("seen"))
-             .groupBy(F.col("_sid").alias("_a_sid")).agg(
-                 F.count("*").alias("surfaces"),
-                 F.min_by("surface", F.struct(-F.col("n"), F.col("seen"))).alias("surface")))
-    return (facts.join(areas, facts["_sid"] == areas["_a_sid"], "left")
-            .select(F.col("_sid").alias("session"),
-                    *[c for c in facts.columns if c != "_sid"], "surface",
-                    F.coalesce("surfaces", F.lit(0)).alias("surfaces"))
-            .orderBy(F.desc("output"), "session"))
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts], F.sum("cost").alias("cost"),
+        F.collect_set(F.when(model != PLACEHOLDER_MODEL, model)).alias("models"),
+        F.count_if("sidechain").alias("sidechain_turns"), F.max(context).alias("peak_context"))
+    facts = per_area.groupBy("session").agg(
+        F.min_by("opening", "seen").alias("o"), F.min_by("repo", "repo_seen").alias("repo"),
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("turns").alias("turns"),
+        *[F.sum(c).alias(c) for c in counts], F.bround(F.sum("cost"), 4).alias("cost"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("models")))).alias("models"),
+        F.sum("sidechain_turns").alias("sidechain_turns"),
+        F.greatest(F.max("peak_context"), F.lit(0)).alias("peak_context"),
+        F.min_by("area", F.when(F.col("area").isNotNull(), F.struct(
+            (-F.col("turns")).alias("n"), "seen"))).alias("surface"),
+        F.count("area").alias("surfaces"))
+    return facts.select(
+        "session", *[F.col(f"o.{c}").alias(c) for c in first_seen], "repo", "start", "end",
+        "turns", "input", "output", "cache_create", "cache_read", "cost", "models", "reads",
+        "writes", "tool_calls", "sidechain_turns", "peak_context", "surface", "surfaces") \
+        .orderBy(F.desc("output"), "session")
 
 
 def reconcile(priced: DataFrame) -> DataFrame:

@@ -62,6 +62,15 @@ def running(df: DataFrame, keys: list[str], order: list[str], scans: list[Scan],
     return out.drop(*inputs.values())
 
 
+def hold(df: DataFrame, chunk: str | None) -> DataFrame:
+    """Store a chunked frame between two scans.
+
+    A scan over chunks reads its input twice; chaining scans without storing
+    would double the work at every link. Plain windows need no storing.
+    """
+    return write_and_read(df, "scan") if chunk else df
+
+
 def _carry(framed: DataFrame, out: DataFrame, keys, order, scans, inputs, chunk) -> DataFrame:
     """Add the state left by earlier (or later) chunks of the same key."""
     place = F.struct(*order)

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.cluster import lookup_join
+from meterline.cluster import lookup_join, write_and_read
 from meterline.functions.models import drop_snapshot_date, strip_gateway
 from meterline.operators.attribution import Topology, basename, short_session
-from meterline.operators.scan import Scan, running
+from meterline.operators.scan import Scan, hold, running
 from meterline.sources import logs as L
 from meterline.sources.spec import finish
 
@@ -116,36 +116,44 @@ def rollout(lines: DataFrame, topology: Topology, provider: str = "codex",
 
     A repeated total is no turn. Tool calls belong to the next emitted turn.
     """
-    recs = L.records(lines)
-    kind, inner = L.dig("rec", "type"), L.dig("rec", "payload.type")
-    p = lambda path, t="string": L.dig("rec", f"payload.{path}", t)
-    total = L.dig("rec", "payload.info.total_token_usage", "map<string,variant>")
-    setting = kind.isin("session_meta", "turn_context")
-    counts = F.struct(*[L.counter("rec", f"payload.info.total_token_usage.{c}").alias(c)
-                        for c in ROLLOUT_COUNTERS])
-    call = inner.isin("function_call", "custom_tool_call", "local_shell_call")
+    kind, inner = F.col("kind"), F.col("inner")
+    # Most lines are messages: they are dropped before any field is looked up.
+    recs = L.records(lines).select("*", L.dig("rec", "type").alias("kind"),
+                                   L.dig("rec", "payload.type").alias("inner"))
+    setting = F.coalesce(kind.isin("session_meta", "turn_context"), F.lit(False))
+    is_call = ~setting & F.coalesce(inner.isin("function_call", "custom_tool_call",
+                                               "local_shell_call", "web_search_call"), F.lit(False))
+    is_total = ~setting & F.coalesce(inner == "token_count", F.lit(False))
+    recs = recs.filter(setting | is_call | is_total)
+    p = lambda path: L.dig("rec", f"payload.{path}")
+    fields = recs.select(
+        "file", "block", "line", "kind", "inner", L.dig("rec", "timestamp").alias("ts_raw"),
+        *[F.when(setting, p(c)).alias(c) for c in ("id", "cwd", "source", "model", "effort",
+                                                   "reasoning_effort")],
+        *[F.when(is_call, p(c)).alias(c) for c in ("name", "arguments")],
+        F.when(is_total, L.dig("rec", "payload.info.total_token_usage", "map<string,variant>"))
+        .alias("usage"))
+    count = lambda c: F.coalesce(F.try_variant_get(
+        F.try_element_at("usage", F.lit(c)), "$", "bigint"), F.lit(0))
     search = inner == "web_search_call"
-    args = F.when(F.length(p("arguments")) <= MAX_ARGUMENT_CHARS,
-                  F.try_parse_json(p("arguments")))
-    paths = F.filter(F.array(*[L.dig(args, k) for k in ROLLOUT_PATHS]),
+    args = F.when(F.length("arguments") <= MAX_ARGUMENT_CHARS, F.col("arguments"))
+    paths = F.filter(F.array(*[F.get_json_object(args, f"$.{k}") for k in ROLLOUT_PATHS]),
                      lambda x: x.isNotNull() & F.startswith(x, F.lit("/")))
-    read = recs.select(
-        "file", "block", "line", L.dig("rec", "timestamp").alias("ts_raw"),
-        F.when(kind == "session_meta", F.struct(
-            p("id").alias("id"), p("cwd").alias("cwd"), p("source").alias("source")))
-        .alias("meta"),
-        F.when(kind == "turn_context", F.struct(
-            p("model").alias("model"), F.coalesce(L.truthy(p("effort")), p("reasoning_effort"))
-            .alias("effort"), p("cwd").alias("cwd"))).alias("ctx"),
-        F.when(~F.coalesce(setting, F.lit(False)) & (inner == "token_count")
-               & (F.size(total) > 0), counts).alias("totals"),
-        F.when(~F.coalesce(setting, F.lit(False)) & (call | search), F.struct(
-            F.when(search, "WebSearch").otherwise(L.truthy(p("name"))).alias("name"),
-            F.when(call, paths).otherwise(F.array().cast("array<string>")).alias("paths")))
+    read = fields.select(
+        "file", "block", "line", "ts_raw",
+        F.when(kind == "session_meta", F.struct("id", "cwd", "source")).alias("meta"),
+        F.when(kind == "turn_context", F.struct("model", F.coalesce(
+            L.truthy(F.col("effort")), "reasoning_effort").alias("effort"), "cwd")).alias("ctx"),
+        F.when(is_total & (F.size("usage") > 0), F.struct(
+            *[count(c).alias(c) for c in ROLLOUT_COUNTERS])).alias("totals"),
+        F.when(is_call, F.struct(
+            F.when(search, "WebSearch").otherwise(L.truthy(F.col("name"))).alias("name"),
+            F.when(search, F.array().cast("array<string>")).otherwise(paths).alias("paths")))
         .alias("call"))
-    useful = (F.col("meta").isNotNull() | F.col("ctx").isNotNull() | F.col("totals").isNotNull()
-              | F.col("call").isNotNull())
-    state = running(read.filter(useful), FILE, PLACE, [
+    useful = F.coalesce(F.col("meta").isNotNull() | F.col("ctx").isNotNull()
+                        | F.col("totals").isNotNull() | F.col("call").isNotNull(), F.lit(False))
+    # Parsed once into a few fields; turns and calls are both read from there.
+    state = running(write_and_read(read.filter(useful), "rollout"), FILE, PLACE, [
         Scan("m", "last", F.col("meta")), Scan("c", "last", F.col("ctx")),
         Scan("prev", "last_before", F.col("totals"))], chunk)
     used = {c: F.greatest(F.lit(0), F.col(f"totals.{c}") - F.coalesce(f"prev.{c}", F.lit(0)))
@@ -153,7 +161,7 @@ def rollout(lines: DataFrame, topology: Topology, provider: str = "codex",
     worked = F.lit(False)
     for col in used.values():
         worked = worked | (col > 0)
-    state = state.withColumn("emits", F.coalesce(worked, F.lit(False)))
+    state = hold(state.withColumn("emits", F.coalesce(worked, F.lit(False))), chunk)
     state = running(state, FILE, PLACE, [
         Scan("turn", "total", F.col("emits").cast("int"))], chunk)
     turns = state.filter("emits")
@@ -253,34 +261,40 @@ def oplog(lines: DataFrame, topology: Topology, index: DataFrame | None = None,
     A call joins the first end of its step that follows it. Calls that name no
     step stay without a turn.
     """
-    recs = L.records(lines)
-    kind, event = L.dig("rec", "type"), L.dig("rec", "event.type")
-    loop = kind == "context.append_loop_event"
-    update = kind == "config.update"
-    effort = L.truthy(L.dig("rec", "thinkingEffort"))
-    args = F.coalesce(F.try_parse_json(L.dig("rec", "event.args")),
-                      L.dig("rec", "event.args", "variant"))
-    usage = L.dig("rec", "event.usage", "variant")
-    ended = loop & (event == "step.end")
-    counted = ended & (F.size(L.dig("rec", "event.usage", "map<string,variant>")) > 0)
-    read = recs.select(
-        "file", "block", "line",
-        F.when(update, oplog_model(L.dig("rec", "modelAlias"))).alias("u_model"),
-        F.when(update, L.truthy(L.dig("rec", "cwd"))).alias("u_cwd"),
-        F.when(update, effort).alias("u_effort"),
-        F.when(ended, L.dig("rec", "event.uuid")).when(
-            loop & (event == "tool.call"), L.dig("rec", "event.stepUuid")).alias("step"),
-        F.coalesce(ended, F.lit(False)).alias("ended"),
-        F.coalesce(counted, F.lit(False)).alias("counted"),
-        F.coalesce(loop & (event == "tool.call"), F.lit(False)).alias("is_call"),
-        L.dig("rec", "time", "double").alias("ms"), L.dig("rec", "event.finishReason")
-        .alias("stop"),
-        F.when(counted, step_tokens(usage)).alias("tokens"),
-        F.left(L.truthy(L.dig("rec", "event.name")), F.lit(MAX_TOOL_NAME)).alias("name"),
-        F.filter(F.array(*[L.dig(args, k) for k in OPLOG_PATHS]),
-                 lambda x: x.isNotNull() & F.startswith(x, F.lit("/"))).alias("paths"))
+    kind, event = F.col("kind"), F.col("event")
+    # Most operations are messages: they are dropped before any field is looked up.
+    recs = L.records(lines).select("*", L.dig("rec", "type").alias("kind"),
+                                   L.dig("rec", "event.type").alias("event"))
+    update = F.coalesce(kind == "config.update", F.lit(False))
+    loop = F.coalesce(kind == "context.append_loop_event", F.lit(False))
+    ended = loop & F.coalesce(event == "step.end", F.lit(False))
+    is_call = loop & F.coalesce(event == "tool.call", F.lit(False))
+    recs = recs.filter(update | ended | is_call)
+    d = lambda p, t="string": L.dig("rec", p, t)
+    fields = recs.select(
+        "file", "block", "line", ended.alias("ended"), is_call.alias("is_call"),
+        *[F.when(update, d(c)).alias(c) for c in ("modelAlias", "cwd", "thinkingEffort")],
+        F.when(ended, d("event.uuid")).when(is_call, d("event.stepUuid")).alias("step"),
+        F.when(ended, d("event.usage", "variant")).alias("usage"), d("time", "double").alias("ms"),
+        F.when(ended, d("event.finishReason")).alias("stop"),
+        F.when(is_call, d("event.name")).alias("name"),
+        F.when(is_call, d("event.args")).alias("args"))
+    # Arguments are an object or its JSON text; both read as text here.
+    paths = F.filter(F.array(*[F.get_json_object("args", f"$.{k}") for k in OPLOG_PATHS]),
+                     lambda x: x.isNotNull() & F.startswith(x, F.lit("/")))
+    counted = F.col("ended") & F.coalesce(F.size(F.try_variant_get(
+        "usage", "$", "map<string,variant>")) > 0, F.lit(False))
+    read = fields.select(
+        "file", "block", "line", "ended", "is_call", "step", "ms", "stop",
+        oplog_model(F.col("modelAlias")).alias("u_model"), L.truthy(F.col("cwd")).alias("u_cwd"),
+        L.truthy(F.col("thinkingEffort")).alias("u_effort"), counted.alias("counted"),
+        F.when(counted, step_tokens(F.col("usage"))).alias("tokens"),
+        F.left(L.truthy(F.col("name")), F.lit(MAX_TOOL_NAME)).alias("name"),
+        F.when(F.col("is_call"), paths).alias("paths"))
     read = read.filter(F.coalesce("u_model", "u_cwd", "u_effort").isNotNull()
                        | F.col("ended") | F.col("is_call"))
+    # Parsed once into a few fields; ends, calls and turns are all read from there.
+    read = write_and_read(read, "oplog")
     state = running(read, FILE, PLACE, [
         Scan("model", "last", F.col("u_model")), Scan("cwd", "last", F.col("u_cwd")),
         Scan("set_effort", "last", F.col("u_effort")),

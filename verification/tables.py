@@ -118,12 +118,19 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("person"))
 
 
+_RATES: dict[str, RateTables] = {}
+
+
 def rates(spark: SparkSession) -> RateTables:
-    return RateTables.from_card(spark, CARD)
+    """The card is configuration: flattened once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _RATES:
+        _RATES[app] = RateTables.from_card(spark, CARD)
+    return _RATES[app]
 
 
 def digest(spark: SparkSession, sf_dir: str) -> Digest:
-    return Digest.of(turns(spark, sf_dir), TOPOLOGY, CARD)
+    return Digest.of(turns(spark, sf_dir), TOPOLOGY, CARD, rates(spark))
 
 
 # ---- the same in plain SQL ----------------------------------------------------
