@@ -87,7 +87,9 @@ def split_chunk(spark: SparkSession, globs) -> str | None:
 
 def records(lines: DataFrame) -> DataFrame:
     """Lines that parse as JSON, as VARIANT ``rec``; broken and blank lines are skipped."""
-    parsed = lines.select("*", F.try_parse_json(F.trim("value")).alias("rec"))
+    # Exploding a one-item array keeps later filters above the parse: pushed below
+    # it, each of them would parse the text once more.
+    parsed = lines.select("*", F.explode(F.array(F.try_parse_json(F.trim("value")))).alias("rec"))
     return parsed.filter(F.col("rec").isNotNull()).drop("value")
 
 
