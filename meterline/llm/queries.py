@@ -1,4 +1,4 @@
 """Imports every module of queries of this subpackage."""
 
-from meterline.llm import filter_queries  # noqa: F401
+from meterline.llm import dedup_queries, filter_queries, model_queries, search_queries  # noqa: F401
 from meterline.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -54,10 +54,10 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
 
 
 def over_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                 schema: str | T.StructType) -> DataFrame:
+                 schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` with batches short enough for whole texts."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
