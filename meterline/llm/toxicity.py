@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
-Many weak voters look at a text: single words of a small insult lexicon, words and word
-beginnings that stand out in labelled toxic rows, and patterns (shouting, address, strings
-of signs). A generative label model - two classes, each voter firing at its own rate in
+Many weak voters look at a text: a small insult lexicon, word lists dealt out from the words
+and word beginnings that stand out in labelled toxic rows (each list has terms of every
+language, so that lists agree on what is toxic and not on what is French), and patterns
+(shouting, address, strings of signs). A generative label model - two classes, each voter firing at its own rate in
 either - is fitted by expectation maximisation without labels; voters whose residuals move
 together share one vote. A linear classifier over words and word beginnings is trained on
 the model's posterior labels and scores every text in one pass.
@@ -22,11 +23,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +36,9 @@ from pyspark.sql import types as T
 from meterline.cluster import write_and_read
 from meterline.llm.texts import bucket, over_batches, texts_of, words
 
-MAX_ROWS, MAX_TERMS, MAX_VOTERS = 20_000, 3_000, 150
-BEGINNINGS = (4, 5, 6)
+MAX_ROWS, MAX_TERMS, MAX_STRONG, LEXICONS = 20_000, 2_000, 800, 16
+BEGINNINGS = (3, 4, 5, 6)
+TIMES = (2, 4, 8)
 FOLDS, HELD_OUT = 5, 0
 # Common insults of four languages, lower case.
 LEXICON = ("idiot idiots stupid moron morons loser losers scum trash clown pathetic worthless disgusting "
@@ -58,6 +61,15 @@ def terms_of(word: bytes) -> list[str]:
     return [text, *("^" + text[:n] for n in BEGINNINGS if len(text) >= n)]
 
 
+def features_of(text: bytes, terms: Callable[[bytes], Iterable[str]]) -> list[str]:
+    """The terms in a text; one that stands 2, 4 or 8 times is a feature for that as well."""
+    tally: Counter = Counter()
+    for w, n in Counter(words(text)).items():
+        for t in terms(w):
+            tally[t] += n
+    return [*tally, *(f"{t}#{k}" for t, n in tally.items() if n >= TIMES[0] for k in TIMES if n >= k)]
+
+
 @dataclass
 class Toxicity:
     """Weights of terms; the voters' estimated firing rates are kept for inspection."""
@@ -72,18 +84,19 @@ class Toxicity:
     def scorer(self):
         """A function from text to score; it remembers the terms of words it has seen."""
         weights, bias, seen = self.weights, self.bias, {}
+        used = {t.split("#")[0] for t in weights}
+
+        def terms(word: bytes) -> tuple[str, ...]:
+            mine = seen.get(word)
+            if mine is None:
+                if len(seen) > 500_000:
+                    seen.clear()
+                mine = seen[word] = tuple(t for t in terms_of(word) if t in used)
+            return mine
 
         def score(text: bytes) -> float:
-            if len(seen) > 500_000:
-                seen.clear()
-            found: set[str] = set()
-            for w in set(words(text)):
-                mine = seen.get(w)
-                if mine is None:
-                    mine = seen[w] = tuple(t for t in terms_of(w) if t in weights)
-                if mine:
-                    found.update(mine)
-            return float(1 / (1 + np.exp(-np.clip(bias + sum(weights[t] for t in sorted(found)), -30, 30))))
+            total = sum(weights.get(t, 0.0) for t in sorted(features_of(text, terms)))
+            return float(1 / (1 + np.exp(-np.clip(bias + total, -30, 30))))
         return score
 
 
@@ -116,15 +129,13 @@ def fit_voters(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple:
     return q, hit, miss, share
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, prior: np.ndarray, steps: int = 400,
-               ridge: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on sets of terms and soft targets, by accelerated gradient steps.
+def fit_linear(where: np.ndarray, what: np.ndarray, target: np.ndarray, prior: np.ndarray,
+               steps: int = 250, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on terms (``what``) of rows (``where``) and soft targets.
 
     The weights are drawn to ``prior``, so that unseen lexicon words keep their meaning.
     """
-    n = len(rows)
-    where = np.repeat(np.arange(n), [len(r) for r in rows])
-    what = np.array([t for r in rows for t in r], np.int64)
+    n = len(target)
     w, bias = prior.copy(), -3.0
     mean, var = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, steps + 1 if n else 0):
@@ -154,7 +165,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             counts = (Counter(), Counter())
             for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                counts[toxic > 0].update({t for w in set(words(text)) for t in terms_of(w)})
+                counts[toxic > 0].update(features_of(text, terms_of))
             terms = sorted(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(terms, pa.string()), *(pa.array([counts[y][t] for t in terms], pa.int64()) for y in (1, 0))],
@@ -183,33 +194,33 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     toxic, clean = n.get(True, 0), n.get(False, 0)
     found = _telling(_term_counts(rows), toxic, clean, max_terms)
     strong = [r["term"] for r in found if r["z"] > 3 and r["toxic"] >= 3
-              and r["toxic"] * clean > 10 * r["clean"] * toxic][:MAX_VOTERS]
+              and r["toxic"] * clean > 10 * r["clean"] * toxic][:MAX_STRONG]
     terms = list(dict.fromkeys([*LEXICON, *(r["term"] for r in found)]))
     number = {t: i for i, t in enumerate(terms)}
-    voters = list(dict.fromkeys([*LEXICON, *strong]))
+    lists = [list(LEXICON), *(strong[k::LEXICONS] for k in range(LEXICONS) if strong[k::LEXICONS])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, fired = [], []
             for text in texts_of(batch.column(0)):
-                sets.append(sorted({number[t] for w in set(words(text)) for t in terms_of(w) if t in number}))
+                sets.append(sorted({number[t] for t in features_of(text, terms_of) if t in number}))
                 fired.append([i for i, p in enumerate(PATTERNS) if p.search(text)])
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())),
                                               pa.array(fired, pa.list_(pa.int32()))], names=["terms", "fired"])
 
-    sample = over_batches(rows, run, "terms array<int>, fired array<int>").collect()
-    sets = [r["terms"] for r in sample]
-    votes = np.zeros((len(sample), len(voters) + len(PATTERNS)))
-    column = {number[v]: j for j, v in enumerate(voters)}
-    for i, r in enumerate(sample):
-        votes[i, [column[t] for t in r["terms"] if t in column]] = 1
-        votes[i, [len(voters) + p for p in r["fired"]]] = 1
-    start = np.where(votes[:, :len(voters)].any(axis=1), 0.9, 0.02)
+    sample = over_batches(rows, run, "terms array<int>, fired array<int>").toArrow().combine_chunks()
+    flat = [(np.repeat(np.arange(sample.num_rows), pc.list_value_length(c)), pc.list_flatten(c).to_numpy())
+            for c in (sample["terms"], sample["fired"])]
+    votes = np.zeros((sample.num_rows, len(lists) + len(PATTERNS)))
+    for j, mine in enumerate(lists):
+        votes[flat[0][0][np.isin(flat[0][1], [number[t] for t in mine])], j] = 1
+    votes[flat[1][0], len(lists) + flat[1][1]] = 1
+    start = np.where(votes[:, :len(lists)].sum(axis=1) >= min(2, len(lists)), 0.9, 0.02)
     q, hit, miss, share = fit_voters(votes, start)
     prior = np.array([4.0 if t in LEXICON else 0.0 for t in terms])
-    w, bias = fit_linear(sets, q, prior)
+    w, bias = fit_linear(*flat[0], q, prior)
     return Toxicity({t: float(x) for t, x in zip(terms, w) if abs(x) > 1e-3}, bias,
-                    [*voters, *(p.pattern.decode() for p in PATTERNS)], hit, miss, share)
+                    [*(" ".join(x) for x in lists), *(p.pattern.decode() for p in PATTERNS)], hit, miss, share)
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
