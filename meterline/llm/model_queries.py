@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import language_id, toxicity
+from meterline.llm import language_id, token_trees, toxicity, url_filter
 from meterline.llm.registry import query
 from meterline.llm.texts import table
 
@@ -24,3 +24,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs)).select(
         "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+         ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op5_url_filter")
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, RULES, url_filter.ruled(pages, RULES))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after personal data and secrets are replaced in every text."""
+    trees = token_trees.build(table(spark, sf_dir, "documents"))
+    return token_trees.recount(trees, token_trees.redactions).select(
+        "doc_id", "n_tokens", "n_leaves", "n_edits", "n_tokens_after", "leaves_encoded")

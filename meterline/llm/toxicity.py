@@ -40,6 +40,7 @@ MAX_ROWS, MAX_TERMS, MAX_STRONG, LEXICONS = 20_000, 2_000, 800, 16
 BEGINNINGS = (3, 4, 5, 6)
 TIMES = (2, 4, 8)
 FOLDS, HELD_OUT = 5, 0
+REMEMBERED, COUNTED = 150_000, 400_000  # words and terms that a task holds at once
 # Common insults of four languages, lower case.
 LEXICON = ("idiot idiots stupid moron morons loser losers scum trash clown pathetic worthless disgusting "
            "dumb retard bastard bitch asshole jerk filth vermin imbecile "
@@ -61,6 +62,20 @@ def terms_of(word: bytes) -> list[str]:
     return [text, *("^" + text[:n] for n in BEGINNINGS if len(text) >= n)]
 
 
+def remembered(used: set[str] | None = None) -> Callable[[bytes], tuple[str, ...]]:
+    """``terms_of`` for words met before; only the terms in ``used`` if it is given."""
+    seen: dict[bytes, tuple[str, ...]] = {}
+
+    def terms(word: bytes) -> tuple[str, ...]:
+        mine = seen.get(word)
+        if mine is None:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            mine = seen[word] = tuple(t for t in terms_of(word) if used is None or t in used)
+        return mine
+    return terms
+
+
 def features_of(text: bytes, terms: Callable[[bytes], Iterable[str]]) -> list[str]:
     """The terms in a text; one that stands 2, 4 or 8 times is a feature for that as well."""
     tally: Counter = Counter()
@@ -83,16 +98,8 @@ class Toxicity:
 
     def scorer(self):
         """A function from text to score; it remembers the terms of words it has seen."""
-        weights, bias, seen = self.weights, self.bias, {}
-        used = {t.split("#")[0] for t in weights}
-
-        def terms(word: bytes) -> tuple[str, ...]:
-            mine = seen.get(word)
-            if mine is None:
-                if len(seen) > 500_000:
-                    seen.clear()
-                mine = seen[word] = tuple(t for t in terms_of(word) if t in used)
-            return mine
+        weights, bias = self.weights, self.bias
+        terms = remembered({t.split("#")[0] for t in weights})
 
         def score(text: bytes) -> float:
             total = sum(weights.get(t, 0.0) for t in sorted(features_of(text, terms)))
@@ -108,6 +115,8 @@ def fit_voters(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple:
     """
     n, m = votes.shape
     share, q = np.ones(m), start.copy()
+    if not n:
+        return q, np.zeros(m), np.zeros(m), share
     for step in (0, 1):
         for _ in range(rounds):
             prior = (q.sum() + 1) / (n + 10)
@@ -162,14 +171,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 def _term_counts(rows: DataFrame) -> DataFrame:
     """(term, toxic, clean): in how many rows of either label a term occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, found = (Counter(), Counter()), remembered()
+
+        def told() -> pa.RecordBatch:
+            terms = sorted(counts[0].keys() | counts[1].keys())
+            columns = [pa.array([counts[y][t] for t in terms], pa.int64()) for y in (1, 0)]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *columns],
+                                              names=["term", "toxic", "clean"])
         for batch in batches:
-            counts = (Counter(), Counter())
             for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                counts[toxic > 0].update(features_of(text, terms_of))
-            terms = sorted(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), *(pa.array([counts[y][t] for t in terms], pa.int64()) for y in (1, 0))],
-                names=["term", "toxic", "clean"])
+                counts[toxic > 0].update(features_of(text, found))
+                if len(counts[0]) + len(counts[1]) > COUNTED:
+                    yield told()
+        yield told()
     made = over_batches(rows, run, "term string, toxic bigint, clean bigint")
     return made.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -200,10 +216,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     lists = [list(LEXICON), *(strong[k::LEXICONS] for k in range(LEXICONS) if strong[k::LEXICONS])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = remembered({t.split("#")[0] for t in number})
         for batch in batches:
             sets, fired = [], []
             for text in texts_of(batch.column(0)):
-                sets.append(sorted({number[t] for t in features_of(text, terms_of) if t in number}))
+                sets.append(sorted({number[t] for t in features_of(text, known) if t in number}))
                 fired.append([i for i, p in enumerate(PATTERNS) if p.search(text)])
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())),
                                               pa.array(fired, pa.list_(pa.int32()))], names=["terms", "fired"])
