@@ -210,7 +210,13 @@ def workspace(cwd: Column) -> Column:
     return F.nullif(basename(F.coalesce(cwd, F.lit(""))), F.lit(""))
 
 
+def session_id(session: Column) -> Column:
+    """The id as it is written; a blank one is none."""
+    return F.nullif(session, F.lit(""))
+
+
 def short_session(session: Column) -> Column:
+    """The first eight characters, for display only: different sessions may share them."""
     return F.nullif(F.left(session, F.lit(8)), F.lit(""))
 
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterline.cluster import lookup_join, write_and_read
 from meterline.functions.labels import blank_to_null, breakdown_label
 from meterline.operators.privacy import bucket
-from meterline.operators.scan import CHUNK_ROWS, Scan, by_chunks, running
+from meterline.operators.scan import CHUNK_ROWS, by_chunks
 
-# Floors, retention, write window and list limits of the fact store.
+# Floors, retention and write window of the fact store.
 MIN_PEOPLE, MIN_ACTIVE_DAYS = 5, 7
-RETENTION_DAYS, WRITE_DAYS, REBUILD_DAYS, TOP_TOOLS = 35, 14, 2, 25
+RETENTION_DAYS, WRITE_DAYS, REBUILD_DAYS = 35, 14, 2
 HIST_BUCKETS = 20
 ID_CHARS = 24
 FLAT_SUMS = ("turns", "sessions", "input", "output", "cache_create", "cache_read", "cache_1h",
@@ -39,36 +41,41 @@ def pseudonym(secret: str, purpose: str, subject: Column) -> Column:
 def person_days(priced: DataFrame, auid: str = "auid") -> DataFrame:
     """One row per person and UTC day, with no name of a folder, session or account.
 
-    Everything is summed per (person, day, finer key) before the last grouping,
-    so the lists collected at the end hold one entry per model, tool or label.
+    Turns are combined once to (person, day, session, hour, labels) and stored; everything
+    else is summed from there, so the lists collected at the end hold one entry per model,
+    tool or label. Turns without a person or a stamp belong to no day of anybody.
     """
-    day = F.date_format("ts", "yyyy-MM-dd")
-    t = priced.filter(F.col("ts").isNotNull()).withColumn("_day", day)
-    keys = [auid, "_day"]
-    sid = blank_to_null(F.col("session"))
-    context = F.col("input") + F.col("cache_read") + F.col("cache_create")
-    flat = t.groupBy(*keys).agg(
-        F.count("*").alias("turns"), F.countDistinct(sid).alias("sessions"),
-        *[F.sum(c).alias(c) for c in ("input", "output", "cache_create", "cache_read", "cache_1h",
-                                      "cache_5m", "writes", "reads")],
-        F.sum("tool_calls").alias("calls"), F.sum("cost_micro").alias("cost_micro"),
-        F.max(context).alias("peak_context"), F.countDistinct("model").alias("models_used"),
-        F.array(*[F.count_if(F.hour("ts") == h) for h in range(24)]).alias("by_hour"))
-    spans = t.groupBy(*keys, sid.alias("s")).agg(
-        F.floor((F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))) / 60).alias("m"),
-        F.countDistinct("model").alias("n")).groupBy(*keys).agg(
-        F.sum("m").alias("active_minutes"), F.count_if(F.col("n") > 1).alias("switch_sessions"))
     kind = F.when(F.col("sidechain"), "sub").otherwise("main")
     dims = {"by_model": breakdown_label("model"), "by_effort": breakdown_label("effort"),
             "by_provider": breakdown_label("provider"),
             "by_entrypoint": breakdown_label("entrypoint"), "by_agent_kind": kind}
-    tall = t.select(*keys, "input", "output", "cache_create", "cache_read", "cost_micro",
-                    F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), v.cast("string")
-                                                 .alias("value")) for d, v in dims.items()]))
-                    .alias("d"))
-    per_value = tall.groupBy(*keys, "d.dim", "d.value").agg(
-        F.count("*").alias("turns"), *[F.sum(c).alias(c) for c in (
-            "input", "output", "cache_create", "cache_read", "cost_micro")])
+    t = priced.filter(F.col("ts").isNotNull() & F.col(auid).isNotNull()).withColumn(
+        "_day", F.date_format("ts", "yyyy-MM-dd"))
+    keys, second = [auid, "_day"], F.unix_seconds("ts")
+    context = F.col("input") + F.col("cache_read") + F.col("cache_create")
+    sums = ("input", "output", "cache_create", "cache_read", "cache_1h", "cache_5m", "writes", "reads",
+            "cost_micro")
+    base = write_and_read(t.groupBy(
+        *keys, blank_to_null(F.col("session")).alias("_sid"), F.hour("ts").alias("_hour"),
+        F.col("model").alias("_model"), *[v.cast("string").alias(d) for d, v in dims.items()]).agg(
+        F.count("*").alias("turns"), *[F.sum(c).alias(c) for c in sums], F.sum("tool_calls").alias("calls"),
+        F.max(context).alias("peak_context"), F.min(second).alias("_from"), F.max(second).alias("_to")),
+        "person-days")
+    flat = base.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("turns", *sums, "calls")], F.max("peak_context").alias("peak_context"),
+        F.countDistinct("_model").alias("models_used"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("_hour") == h, F.col("turns"))), F.lit(0))
+                  for h in range(24)]).alias("by_hour"))
+    spans = base.groupBy(*keys, "_sid").agg(
+        F.floor((F.max("_to") - F.min("_from")) / 60).alias("m"), F.countDistinct("_model").alias("n"),
+    ).groupBy(*keys).agg(
+        F.sum("m").alias("active_minutes"), F.count_if(F.col("n") > 1).alias("switch_sessions"),
+        F.count("_sid").alias("sessions"))
+    tall = base.select(*keys, "turns", "input", "output", "cache_create", "cache_read", "cost_micro",
+                       F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value"))
+                                           for d in dims])).alias("d"))
+    per_value = tall.groupBy(*keys, "d.dim", "d.value").agg(*[F.sum(c).alias(c) for c in (
+        "turns", "input", "output", "cache_create", "cache_read", "cost_micro")])
     wide = {"by_model": ("turns", "input", "output", "cache_create", "cache_read", "cost_micro"),
             "by_agent_kind": ("turns", "output")}
     maps = []
@@ -81,8 +88,7 @@ def person_days(priced: DataFrame, auid: str = "auid") -> DataFrame:
     by_dim = per_value.groupBy(*keys).agg(*maps, cohort.alias("tool_cohort"))
     calls = t.select(*keys, F.explode("tools").alias("tool")).groupBy(*keys, "tool").agg(
         F.count("*").alias("n"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), "tool"))
-    tools = calls.withColumn("place", place).filter(F.col("place") <= TOP_TOOLS).groupBy(*keys).agg(
+    tools = calls.groupBy(*keys).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("by_tool"))
     facts = flat.join(spans, keys).join(by_dim, keys).join(tools, keys, "left")
     facts = facts.withColumnRenamed("_day", "date").withColumn(
@@ -303,19 +309,75 @@ def efficiency(priced: DataFrame, by: str = "person", plan_usd: float = 20.0) ->
 def ranked(values: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``percent_rank`` of every value within its metric, without a one-task window.
 
-    Equal values are counted first; the running count of distinct values is cut
-    into chunks when a metric has many.
+    A metric of many people is cut into ranges of values; equal values stay together, so a
+    rank is the rank inside its range plus the rows of the ranges before.
     """
-    # Read several times below: the people's values are stored, not recomputed.
     values = write_and_read(values, "values")
-    counts = values.groupBy("metric", "value").agg(F.count("*").alias("n"))
-    below = by_chunks(counts, ["metric"], ["value"], lambda df, chunk: running(
-        df, ["metric"], ["value"], [Scan("upto", "total", F.col("n"))], chunk), chunk_rows)
-    totals = counts.groupBy(F.col("metric").alias("t_metric")).agg(F.sum("n").alias("total"))
-    ranks = lookup_join(below, totals, below["metric"] == totals["t_metric"], "inner").select(
-        F.col("metric").alias("r_metric"), F.col("value").alias("r_value"),
-        F.when(F.col("total") > 1, (F.col("upto") - F.col("n")) / (F.col("total") - 1))
-        .otherwise(0.0).alias("percent_rank"))
-    joined = lookup_join(values, ranks, (values["metric"] == ranks["r_metric"])
-                         & (values["value"] == ranks["r_value"]), "inner")
-    return joined.drop("r_metric", "r_value")
+    totals = values.groupBy(F.col("metric").alias("t_metric")).agg(F.count("*").alias("total"))
+
+    def place(df: DataFrame, chunk: str | None) -> DataFrame:
+        part = ["metric", *([chunk] if chunk else [])]
+        out = df.withColumn("below", F.rank().over(W.partitionBy(*part).orderBy("value")) - 1)
+        if not chunk:
+            return out
+        earlier = W.partitionBy("metric").orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+        before = df.groupBy(*part).agg(F.count("*").alias("n")).select(
+            F.col("metric").alias("b_metric"), F.col(chunk).alias("b_chunk"),
+            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        both = lookup_join(out, before, (out["metric"] == before["b_metric"])
+                           & (out[chunk] == before["b_chunk"]), "inner")
+        return both.withColumn("below", F.col("below") + F.col("before")).drop("b_metric", "b_chunk", "before")
+
+    below = by_chunks(values, ["metric"], ["value"], place, chunk_rows)
+    share = F.when(F.col("total") > 1, F.col("below") / (F.col("total") - 1)).otherwise(0.0)
+    return lookup_join(below, totals, below["metric"] == totals["t_metric"], "inner").select(
+        *values.columns, share.alias("percent_rank"))
+
+
+# -- the stored facts ------------------------------------------------------------
+
+FACT_PARTITION = "date"
+
+
+def write_facts(facts: DataFrame, path: str) -> list[str]:
+    """Put facts into a store of one folder per day; returns the days that were written.
+
+    A row replaces its namesake. Only the touched days are rewritten, each beside the store
+    first, so a lost job leaves one intact version; a day written twice is the same day.
+    """
+    spark = facts.sparkSession
+    fresh = write_and_read(facts, "facts")
+    days = [r[0] for r in fresh.select(FACT_PARTITION).distinct().collect()]
+    merged = fresh
+    if _days(spark, path):
+        merged = upsert(spark.read.schema(fresh.schema).parquet(path).filter(F.col(FACT_PARTITION).isin(days)), fresh)
+    write_and_read(merged, "merged").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(FACT_PARTITION).parquet(path)
+    return sorted(days)
+
+
+def write_changed(facts: DataFrame, path: str) -> list[str]:
+    """``write_facts`` with only those rows that the store lacks or that have changed."""
+    spark = facts.sparkSession
+    if _days(spark, path):
+        facts = changed_days(facts, spark.read.schema(facts.schema).parquet(path))
+    return write_facts(facts, path)
+
+
+def prune_facts(spark: SparkSession, path: str, today: str, days: int = RETENTION_DAYS) -> list[str]:
+    """Remove the folders of days past retention; returns them."""
+    limit = str(dt.date.fromisoformat(today) - dt.timedelta(days=days))
+    gone = [d for d in _days(spark, path) if d <= limit]
+    for day in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{FACT_PARTITION}={day}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return gone
+
+
+def _days(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(FACT_PARTITION + "="))

@@ -12,8 +12,7 @@ from meterline.functions.labels import MAIN_THREAD
 from meterline.functions.numbers import pct
 
 SLICERS = ("provider", "lane", "repo")
-MAX_SPINE_DAYS = 800  # fixed value: longest date spine
-PANEL_ROWS = 8        # fixed value: rows of a ranking panel
+PANEL_ROWS = 8        # rows of a ranking panel unless a caller asks for more
 
 
 @dataclass(frozen=True)
@@ -90,7 +89,7 @@ def slice_sessions(sessions: DataFrame, where: Slice) -> DataFrame:
 
 def top_panel(rows: DataFrame, label: str, value: str, keep_zero: Column | None = None,
               n: int = PANEL_ROWS) -> DataFrame:
-    """The first eight positive rows; rows named by ``keep_zero`` may be zero (free models)."""
+    """The first ``n`` positive rows; rows named by ``keep_zero`` may be zero (free models)."""
     shown = F.coalesce(F.col(value), F.lit(0)) > 0
     if keep_zero is not None:
         shown = shown | keep_zero
@@ -98,10 +97,8 @@ def top_panel(rows: DataFrame, label: str, value: str, keep_zero: Column | None
 
 
 def spine(spark, start: str, end: str) -> DataFrame:
-    """Every day from start to end, at most 800; empty when reversed."""
-    days = F.sequence(F.lit(start).cast("date"),
-                      F.least(F.lit(end).cast("date"),
-                              F.date_add(F.lit(start).cast("date"), MAX_SPINE_DAYS - 1)))
+    """Every day from start to end; empty when reversed."""
+    days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
     valid = F.lit(start).cast("date") <= F.lit(end).cast("date")
     return (spark.range(1).filter(valid).select(F.explode(days).alias("d"))
             .select(F.date_format("d", "yyyy-MM-dd").alias("date")))
@@ -116,7 +113,7 @@ def daily_series(cube: DataFrame, where: Slice, metric: str) -> DataFrame:
 
 
 def _trailing() -> W:
-    # At most 800 rows: the spine is bounded, so one task is enough.
+    # One row per calendar day - a century is 36,500 - so one task is enough.
     return W.partitionBy(F.lit(1)).orderBy("date").rowsBetween(-6, 0)
 
 
@@ -244,7 +241,7 @@ def kpis(cube: DataFrame, where: Slice) -> DataFrame:
     t = slice_totals(cube, where.drill())
     read = F.col("cache_read") + F.col("cache_create") + F.col("input")
     length = F.datediff(F.lit(where.end).cast("date"), F.lit(where.start).cast("date")) + 1
-    days = F.least(F.greatest(length, F.lit(0)), F.lit(MAX_SPINE_DAYS))
+    days = F.greatest(length, F.lit(0))
     ratio = F.when(F.col("reads") != 0, F.col("writes") / F.col("reads")) \
         .when(F.col("writes") != 0, F.col("writes").cast("double"))
     return t.select(
@@ -284,12 +281,12 @@ def phase_panel(cube: DataFrame, where: Slice) -> DataFrame:
         F.greatest(F.lit(0.0), (F.col("m") - F.col("f")) / 1e6).alias("premium"))
 
 
-def repo_ranking(cube: DataFrame, where: Slice) -> DataFrame:
+def repo_ranking(cube: DataFrame, where: Slice, n: int = PANEL_ROWS) -> DataFrame:
     """Repos by cost, ignoring the repo filter this panel sets."""
-    return top_panel(group(cube, where, ["repo"], exempt="repo"), "repo", "cost")
+    return top_panel(group(cube, where, ["repo"], exempt="repo"), "repo", "cost", n=n)
 
 
-def surfaces_in_focus(cube: DataFrame, where: Slice) -> DataFrame:
+def surfaces_in_focus(cube: DataFrame, where: Slice, n: int = PANEL_ROWS) -> DataFrame:
     """Areas of the selected repo, or of the costliest one when none is selected."""
     by_area = group(cube, where, ["repo", "surface"], exempt="repo")
     if where.repo is not None:
@@ -298,23 +295,25 @@ def surfaces_in_focus(cube: DataFrame, where: Slice) -> DataFrame:
         focus = (group(cube, where, ["repo"], exempt="repo")
                  .orderBy(F.desc("cost"), "repo").limit(1).select("repo"))
         inside = by_area.join(F.broadcast(focus), "repo", "left_semi")
-    return top_panel(inside, "surface", "cost")
+    return top_panel(inside, "surface", "cost", n=n)
 
 
-def model_ranking(cube: DataFrame, where: Slice, free: list[str] | None = None) -> DataFrame:
+def model_ranking(cube: DataFrame, where: Slice, free: list[str] | None = None,
+                  n: int = PANEL_ROWS) -> DataFrame:
     keep = F.col("model").isin(free) if free else None
-    return top_panel(group(cube, where, ["model"]), "model", "cost", keep)
+    return top_panel(group(cube, where, ["model"]), "model", "cost", keep, n)
 
 
-def ranking(cube: DataFrame, where: Slice, dim: str, value: str = "cost") -> DataFrame:
+def ranking(cube: DataFrame, where: Slice, dim: str, value: str = "cost",
+            n: int = PANEL_ROWS) -> DataFrame:
     """Provider, effort or tool ranking of a slice."""
-    return top_panel(group(cube, where, [dim]), dim, value)
+    return top_panel(group(cube, where, [dim]), dim, value, n=n)
 
 
-def agent_ranking(cube: DataFrame, where: Slice) -> DataFrame:
+def agent_ranking(cube: DataFrame, where: Slice, n: int = PANEL_ROWS) -> DataFrame:
     named = group(cube, where, ["agent"]).filter(
         ~F.col("agent").isin(MAIN_THREAD, "unattributed"))
-    return top_panel(named, "agent", "output")
+    return top_panel(named, "agent", "output", n=n)
 
 
 def model_switch_share(sessions: DataFrame, where: Slice) -> DataFrame:

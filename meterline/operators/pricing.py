@@ -8,14 +8,14 @@ hop, the dated version, the window and the fallback for every turn.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterline.cluster import BROADCAST_ROWS, lookup_join, small_table
+from meterline.cluster import BROADCAST_ROWS, lookup_join, small_table, write_and_read
 from meterline.config import CURRENCIES, PLANS, RateCard
 from meterline.functions.clock import billing_hour, billing_weekday, iso_instant
 from meterline.functions.models import card_name
@@ -57,6 +57,11 @@ class RateTables:
             return plan
         return plan.sparkSession.createDataFrame(plan.toArrow(), plan.schema)
 
+    def stored(self) -> "RateTables":
+        """A derived card written once, so that its uses do not derive it again."""
+        return replace(self, base=write_and_read(self.base, "rates"),
+                       history=write_and_read(self.history, "rates"))
+
     @classmethod
     def from_card(cls, spark: SparkSession, card: RateCard) -> "RateTables":
         base = [(m, r.get("vendor"), r.get("tier"), float(r["input"]), float(r["output"]),
@@ -364,6 +369,32 @@ def quota_headroom(used: DataFrame, amount: int | None) -> DataFrame:
                         .alias("peak_pct"))
 
 
+def plan_headroom(turns: DataFrame, by: str, holders: DataFrame, plans: dict | None = None) -> DataFrame:
+    """Headroom of every party in every quota window of its own plan.
+
+    ``holders`` has (party, plan). A window whose vendor publishes no amount is measured
+    against the party's own p90.
+    """
+    windows = quota_windows(turns.sparkSession, plans)
+    known = {(w["kind"], w["hours" if w["kind"] == "rolling" else "days"])
+             for v in (plans or PLANS).values() for w in v["windows"]}
+    used = None
+    for kind, length in sorted(known):
+        rows = (rolling_usage if kind == "rolling" else calendar_usage)(turns, by, length).groupBy(by).agg(
+            F.max("used").alias("peak_used"), F.percentile("used", F.lit(0.9)).alias("p90_used"))
+        one = rows.withColumns({"kind": F.lit(kind), "length": F.lit(length)})
+        used = one if used is None else used.unionByName(one)
+    held = holders.select(F.col(by).alias("h_party"), "plan").join(F.broadcast(windows), "plan")
+    both = used.withColumnsRenamed({"kind": "u_kind", "length": "u_length"})
+    both = both.join(held, (both[by] == held["h_party"]) & (both["u_kind"] == held["kind"])
+                     & (both["u_length"] == held["length"]))
+    quota = F.coalesce(F.col("amount").cast("double"), "p90_used")
+    return both.select(
+        by, "plan", "kind", "length", "peak_used", "p90_used", quota.alias("quota"),
+        F.when(F.col("amount").isNull(), "own p90").otherwise("published").alias("basis"),
+        F.bround(F.try_divide(F.col("peak_used") * 100.0, quota), 1).alias("peak_pct"))
+
+
 def card_violations(spark: SparkSession, card: RateCard, tables: RateTables | None = None,
                     lines: DataFrame | None = None, labs: DataFrame | None = None,
                     zone: str = "+08:00") -> DataFrame:

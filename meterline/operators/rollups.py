@@ -208,8 +208,7 @@ def session_facts(priced: DataFrame) -> DataFrame:
     return facts.select(
         "session", *[F.col(f"o.{c}").alias(c) for c in first_seen], "repo", "start", "end",
         "turns", "input", "output", "cache_create", "cache_read", "cost", "models", "reads",
-        "writes", "tool_calls", "sidechain_turns", "peak_context", "surface", "surfaces") \
-        .orderBy(F.desc("output"), "session")
+        "writes", "tool_calls", "sidechain_turns", "peak_context", "surface", "surfaces")
 
 
 def reconcile(priced: DataFrame) -> DataFrame:

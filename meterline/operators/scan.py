@@ -44,7 +44,10 @@ def running(df: DataFrame, keys: list[str], order: list[str], scans: list[Scan],
     ordered = W.partitionBy(*part).orderBy(*order)
     upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
-    after = ordered.rowsBetween(W.currentRow, W.unboundedFollowing)
+    # A frame that ends at the partition's end is computed anew for every row. Going through
+    # the rows backwards, the same value is a running one.
+    backward = W.partitionBy(*part).orderBy(*[F.col(c).desc_nulls_last() for c in order]) \
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
 
     def local(s: Scan) -> Column:
         col = F.col(inputs[s.name])
@@ -53,7 +56,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], scans: list[Scan],
         if s.kind == "last_before":
             return F.last(col, ignorenulls=True).over(before)
         if s.kind == "next":
-            return F.first(col, ignorenulls=True).over(after)
+            return F.last(col, ignorenulls=True).over(backward)
         return F.sum(col).over(upto)
 
     out = framed.select("*", *[local(s).alias(s.name) for s in scans])
@@ -87,14 +90,15 @@ def _carry(framed: DataFrame, out: DataFrame, keys, order, scans, inputs, chunk)
         *[summary(s).alias(f"_c_{s.name}") for s in scans])
     chunks = W.partitionBy(*keys).orderBy(chunk)
     earlier = chunks.rowsBetween(W.unboundedPreceding, -1)
-    later = chunks.rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy(*keys).orderBy(F.col(chunk).desc_nulls_last()) \
+        .rowsBetween(W.unboundedPreceding, -1)
 
     def state(s: Scan) -> Column:
         col = F.col(f"_c_{s.name}")
         if s.kind in ("last", "last_before"):
             return F.last(col, ignorenulls=True).over(earlier)
         if s.kind == "next":
-            return F.first(col, ignorenulls=True).over(later)
+            return F.last(col, ignorenulls=True).over(later)
         return F.sum(col).over(earlier)
 
     marks = [*keys, chunk]

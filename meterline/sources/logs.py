@@ -32,16 +32,21 @@ def discover(spark: SparkSession, globs) -> DataFrame:
     return found.distinct()
 
 
-def read_lines(spark: SparkSession, globs) -> DataFrame:
+def _since(spark: SparkSession, modified_after: str | None):
+    """A reader that passes over files not changed after the stamp (UTC, to the second)."""
+    return spark.read.option("modifiedAfter", modified_after) if modified_after else spark.read
+
+
+def read_lines(spark: SparkSession, globs, modified_after: str | None = None) -> DataFrame:
     """Every line with its place: (file, block, line).
 
-    A file is cut at fixed byte offsets, so ``block`` is the same in every run
-    and (block, line) orders the lines of a file however many tasks read it.
+    (block, line) orders the lines of a file however many tasks read it. Blocks depend on
+    the cluster and the input's size: they hold within one read and are not stored.
     """
     frames = []
     for glob in expand(globs):
         try:
-            frames.append(spark.read.text(glob).select(
+            frames.append(_since(spark, modified_after).text(glob).select(
                 F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("line"), "value"))
@@ -55,12 +60,12 @@ def read_lines(spark: SparkSession, globs) -> DataFrame:
     return out
 
 
-def read_documents(spark: SparkSession, globs) -> DataFrame:
+def read_documents(spark: SparkSession, globs, modified_after: str | None = None) -> DataFrame:
     """One row per file, the whole document in ``value``."""
     frames = []
     for glob in expand(globs):
         try:
-            frames.append(spark.read.text(glob, wholetext=True).select(
+            frames.append(_since(spark, modified_after).text(glob, wholetext=True).select(
                 F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"),
                 F.lit(0).cast("long").alias("line"), "value"))
         except AnalysisException:

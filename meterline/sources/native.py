@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meterline.cluster import lookup_join, write_and_read
 from meterline.functions.models import drop_snapshot_date, strip_gateway
-from meterline.operators.attribution import Topology, basename, short_session
+from meterline.operators.attribution import Topology, basename, session_id
 from meterline.operators.scan import Scan, hold, running
 from meterline.sources import logs as L
 from meterline.sources.spec import finish
@@ -37,8 +37,6 @@ PLANNER_MODEL = "gemini-3.6-flash"
 PLANNER_EFFORT = "high"
 PLANNER_INPUT = 1500
 PLANNER_MIN_OUTPUT = 10
-MAX_ARGUMENT_CHARS = 200_000
-MAX_TOOL_NAME = 40
 
 # Counters of the rollout log's running total.
 ROLLOUT_COUNTERS = ("input_tokens", "cached_input_tokens", "output_tokens",
@@ -52,10 +50,8 @@ def _mapped(raw: Column, names: dict, otherwise: Column) -> Column:
     return F.coalesce(F.try_element_at(table, raw), otherwise)
 
 
-def _names(blocks: Column, at: str = "name", limit: int | None = None) -> Column:
-    names = F.filter(F.transform(blocks, lambda b: L.truthy(L.dig(b, at))),
-                     lambda n: n.isNotNull())
-    return F.transform(names, lambda n: F.left(n, F.lit(limit))) if limit else names
+def _names(blocks: Column, at: str = "name") -> Column:
+    return F.filter(F.transform(blocks, lambda b: L.truthy(L.dig(b, at))), lambda n: n.isNotNull())
 
 
 # -- assistant transcripts ------------------------------------------------------
@@ -78,7 +74,7 @@ def transcript(lines: DataFrame, topology: Topology, provider: str = "claude-cod
     entry = d("entrypoint")
     framed = recs.select(
         "file", "line", F.lit(provider).alias("provider"), d("timestamp").alias("ts_raw"),
-        short_session(d("sessionId")).alias("session"),
+        session_id(d("sessionId")).alias("session"),
         F.coalesce(d("cwd"), F.lit("")).alias("_cwd"), L.truthy(d("gitBranch")).alias("branch"),
         _mapped(entry, TRANSCRIPT_ENTRY, entry).alias("entrypoint"),
         drop_snapshot_date(d("message.model")).alias("model"), d("effort").alias("effort"),
@@ -136,8 +132,7 @@ def rollout(lines: DataFrame, topology: Topology, provider: str = "codex",
     count = lambda c: F.coalesce(F.try_variant_get(
         F.try_element_at("usage", F.lit(c)), "$", "bigint"), F.lit(0))
     search = inner == "web_search_call"
-    args = F.when(F.length("arguments") <= MAX_ARGUMENT_CHARS, F.col("arguments"))
-    paths = F.filter(F.array(*[F.get_json_object(args, f"$.{k}") for k in ROLLOUT_PATHS]),
+    paths = F.filter(F.array(*[F.get_json_object("arguments", f"$.{k}") for k in ROLLOUT_PATHS]),
                      lambda x: x.isNotNull() & F.startswith(x, F.lit("/")))
     read = fields.select(
         "file", "block", "line", "ts_raw",
@@ -179,7 +174,7 @@ def rollout(lines: DataFrame, topology: Topology, provider: str = "codex",
     source = F.col("m.source")
     framed = joined.select(
         "file", "line", F.lit(provider).alias("provider"), "ts_raw",
-        short_session(F.col("m.id")).alias("session"),
+        session_id(F.col("m.id")).alias("session"),
         F.coalesce(L.truthy(F.col("c.cwd")), F.col("m.cwd"), F.lit("")).alias("_cwd"),
         strip_gateway(F.col("c.model")).alias("model"), F.col("c.effort").alias("effort"),
         _mapped(source, ROLLOUT_ENTRY, F.lit(None).cast("string")).alias("entrypoint"),
@@ -289,7 +284,7 @@ def oplog(lines: DataFrame, topology: Topology, index: DataFrame | None = None,
         oplog_model(F.col("modelAlias")).alias("u_model"), L.truthy(F.col("cwd")).alias("u_cwd"),
         L.truthy(F.col("thinkingEffort")).alias("u_effort"), counted.alias("counted"),
         F.when(counted, step_tokens(F.col("usage"))).alias("tokens"),
-        F.left(L.truthy(F.col("name")), F.lit(MAX_TOOL_NAME)).alias("name"),
+        L.truthy(F.col("name")).alias("name"),
         F.when(F.col("is_call"), paths).alias("paths"))
     read = read.filter(F.coalesce("u_model", "u_cwd", "u_effort").isNotNull()
                        | F.col("ended") | F.col("is_call"))
@@ -333,7 +328,7 @@ def oplog(lines: DataFrame, topology: Topology, index: DataFrame | None = None,
     framed = joined.select(
         "file", "line", F.lit(provider).alias("provider"),
         F.when(F.col("ms") > 0, stamp).alias("ts_raw"),
-        short_session(F.col("ids.session_id")).alias("session"), wd_name.alias("workspace"),
+        session_id(F.col("ids.session_id")).alias("session"), wd_name.alias("workspace"),
         F.coalesce("cwd", F.lit("")).alias("_cwd"), "model",
         F.nullif(F.col("set_effort"), F.lit("off")).alias("effort"), "turn",
         F.lit("cli").alias("entrypoint"), "stop", sub.alias("sidechain"),
@@ -373,7 +368,7 @@ def planner(lines: DataFrame, topology: Topology, provider: str = "antigravity",
     framed = recs.select(
         "file", "line", F.lit(provider).alias("provider"), "turn",
         either("created_at", "timestamp").alias("ts_raw"),
-        short_session(F.coalesce(L.truthy(sid), d("sessionId"))).alias("session"),
+        session_id(F.coalesce(L.truthy(sid), d("sessionId"))).alias("session"),
         F.coalesce(F.get(paths, F.lit(0)), F.lit("")).alias("_cwd"), F.lit("ide")
         .alias("entrypoint"),
         drop_snapshot_date(F.coalesce(either("model", "model_name"), F.lit(PLANNER_MODEL)))
@@ -386,5 +381,5 @@ def planner(lines: DataFrame, topology: Topology, provider: str = "antigravity",
         F.when(silent, guess).otherwise(out).alias("output"),
         L.counter(box, "cache_creation_input_tokens").alias("cache_create"),
         L.counter(box, "cache_read_input_tokens").alias("cache_read"),
-        _names(blocks, limit=MAX_TOOL_NAME).alias("tools"), paths.alias("_paths"))
+        _names(blocks).alias("tools"), paths.alias("_paths"))
     return finish(framed, topology)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions.clock import epoch_to_iso
 from meterline.functions.models import drop_snapshot_date, strip_gateway
-from meterline.operators.attribution import Topology, short_session, workspace
+from meterline.operators.attribution import Topology, session_id, workspace
 from meterline.operators.scan import Scan, running
 from meterline.schema import COUNTERS, conform
 from meterline.sources import logs as L
@@ -38,12 +38,12 @@ class SpecSource:
     def fields(self) -> dict:
         return self.spec.get("fields") or {}
 
-    def load(self, spark: SparkSession) -> DataFrame:
-        """Turns of every file behind the spec's roots."""
+    def load(self, spark: SparkSession, modified_after: str | None = None) -> DataFrame:
+        """Turns of every file behind the spec's roots, or of those changed since."""
         roots = self.spec.get("roots", [])
         if self.spec.get("format") == "json":
-            return self.turns(L.read_documents(spark, roots))
-        return self.turns(L.read_lines(spark, roots), L.split_chunk(spark, roots))
+            return self.turns(L.read_documents(spark, roots, modified_after))
+        return self.turns(L.read_lines(spark, roots, modified_after), L.split_chunk(spark, roots))
 
     def turns(self, lines: DataFrame, chunk: str | None = None) -> DataFrame:
         """Lines or documents -> turn events."""
@@ -100,7 +100,7 @@ class SpecSource:
         framed = recs.select(
             "file", "line", F.lit(self.provider).alias("provider"), "turn",
             epoch_to_iso(self._text("ts"), spec.get("ts_unit")).alias("ts_raw"),
-            short_session(F.coalesce(L.truthy(self._text("session")), path_session))
+            session_id(F.coalesce(L.truthy(self._text("session")), path_session))
             .alias("session"),
             F.coalesce(self._text("cwd"), F.lit("")).alias("_cwd"),
             self._text("branch").alias("branch"), mapped.alias("entrypoint"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import inspect
+import time
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meterline.cluster import scratch_path
+from meterline.cluster import scratch_path, write_and_read
 from meterline.schema import TURN_SCHEMA, event_key
 
 # Shape of sample rows written before the flag existed.
@@ -24,29 +27,45 @@ def month_of(ts_raw: Column) -> Column:
     return F.when(month.rlike(r"^\d{4}-\d{2}$"), month).otherwise(UNDATED)
 
 
-def append(turns: DataFrame, path: str) -> None:
-    """Append turns to the store, one folder per month."""
-    turns.withColumn("month", month_of(F.col("ts_raw"))).write.mode("append") \
+def arrival() -> Column:
+    """Number of an ingest: later ingests have larger ones. Fixed when the frame is built."""
+    return F.lit(time.time_ns() // 1000)
+
+
+def append(turns: DataFrame, path: str, number: Column | None = None) -> None:
+    """Append turns to the store, one folder per month, marked with the ingest's number.
+
+    ``seq`` orders the rows of one read only; ``ingest`` orders the reads.
+    """
+    turns.withColumns({"ingest": arrival() if number is None else number,
+                       "month": month_of(F.col("ts_raw"))}).write.mode("append") \
         .partitionBy("month").parquet(path)
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """The stored turns; a filter on ``month`` prunes folders."""
-    schema = TURN_SCHEMA.add("month", "string") if "month" not in TURN_SCHEMA.names \
-        else TURN_SCHEMA
+    schema = T.StructType([*TURN_SCHEMA.fields, T.StructField("ingest", T.LongType()),
+                           T.StructField("month", T.StringType())])
     return spark.read.schema(schema).parquet(path)
 
 
 def first_copies(turns: DataFrame) -> DataFrame:
-    """The first copy of each natural key: oldest month, then arrival order.
+    """The first copy of each natural key: oldest month, then order of arrival.
 
-    ``min_by`` keeps one candidate per key and input task, so a turn repeated
-    a billion times does not gather in one place.
+    Arrival is the number of the ingest, then the line. Only key and place are combined, one
+    candidate per key and task; whole rows move once, to the places that were chosen, and a
+    key with many copies can be split there.
     """
-    month = F.col("month") if "month" in turns.columns else month_of(F.col("ts_raw"))
-    kept = turns.groupBy(event_key().alias("_key")).agg(
-        F.min_by(F.struct(*turns.columns), F.struct(month, F.col("seq"))).alias("_row"))
-    return kept.select("_row.*")
+    place = F.struct(
+        F.col("month") if "month" in turns.columns else month_of(F.col("ts_raw")),
+        *[F.col(c) for c in ("ingest", "seq") if c in turns.columns], F.xxhash64(*turns.columns))
+    keyed = turns.withColumn("_key", event_key()).withColumn("_place", place)
+    first = keyed.groupBy("_key").agg(F.min("_place").alias("_first")).withColumnRenamed("_key", "_k")
+    # No place is smaller than the first: joining on the key alone leaves the rows where the
+    # last step wants them. Rows equal in every column are one.
+    found = keyed.join(first, (F.col("_key") == F.col("_k")) & (F.col("_place") <= F.col("_first")),
+                       "left_semi")
+    return found.dropDuplicates(["_key"]).drop("_key", "_place")
 
 
 def dedupe_counts(turns: DataFrame) -> DataFrame:
@@ -58,8 +77,18 @@ def dedupe_counts(turns: DataFrame) -> DataFrame:
 def reconcile(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     """Fresh turns whose key the store lacks; repeats within the batch count once."""
     once = first_copies(fresh).withColumn("_k", event_key())
-    have = stored.select(event_key().alias("_have")).distinct()
-    return once.join(have, once["_k"] == have["_have"], "left_anti").drop("_k")
+    return once.join(stored.select(event_key().alias("_have")), F.col("_k") == F.col("_have"),
+                     "left_anti").drop("_k")
+
+
+def reconcile_months(fresh: DataFrame, path: str) -> DataFrame:
+    """``reconcile`` with the stored months that the fresh turns lie in.
+
+    The stamp is part of the key, so other months need not be read.
+    """
+    spark = fresh.sparkSession
+    months = [r[0] for r in fresh.select(month_of(F.col("ts_raw")).alias("m")).distinct().collect()]
+    return reconcile(fresh, scan(spark, path).filter(F.col("month").isin(months)))
 
 
 def is_sample() -> Column:
@@ -108,41 +137,70 @@ def dedupe_store(spark: SparkSession, path: str) -> None:
 
 @dataclass
 class Source:
-    """A named provider and how to read its turns."""
+    """A named provider and how to read its turns.
+
+    A loader that takes a second argument, ``modified_after``, is asked for the logs changed
+    since the last sync only.
+    """
 
     provider: str
-    load: Callable[[SparkSession], DataFrame]
+    load: Callable[..., DataFrame]
+
+    def read(self, spark: SparkSession, since: str | None = None) -> DataFrame:
+        takes = len(inspect.signature(self.load).parameters)
+        return self.load(spark, since) if takes > 1 else self.load(spark)
 
 
 def sync(spark: SparkSession, sources: list[Source], path: str,
-         full: bool = False) -> DataFrame:
+         full: bool = False, since: str | None = None) -> DataFrame:
     """Read every source into the store and report what happened to each.
 
-    One job per source: a source that fails is reported and the rest still
-    land. ``full`` re-reads everything and appends only unknown keys.
+    Only turns that the store lacks are appended, so running it twice writes once. One job
+    per source: a source that fails is reported and the rest still land. Where single files
+    cannot be read, the others of the source land and the error is reported. Logs changed
+    after ``since`` are read, all of them with ``full``.
     """
     report = []
     for source in sources:
-        seen = Observation()
-        try:
-            fresh = source.load(spark).observe(seen, F.count(F.lit(1)).alias("read"))
-            if full and _exists(spark, path):
-                fresh = reconcile(fresh, scan(spark, path).drop("month"))
-            wrote = Observation()
-            append(fresh.observe(wrote, F.count(F.lit(1)).alias("written"),
-                                 F.min(month_of(F.col("ts_raw"))).alias("lo"),
-                                 F.max(month_of(F.col("ts_raw"))).alias("hi")), path)
-            got, put = seen.get, wrote.get
-            report.append((source.provider, True, got["read"], put["written"],
-                           got["read"] - put["written"], put["lo"], put["hi"], None))
-        except Exception as exc:  # noqa: BLE001 - one bad source must not stop the others
-            report.append((source.provider, False, 0, 0, 0, None, None,
-                           f"{type(exc).__name__}: {str(exc)[:200]}"))
+        after, error = None if full else since, None
+        for lenient in (False, True):
+            try:
+                read, put = _take(spark, source, path, after, lenient)
+                if not lenient or put["written"]:
+                    report.append((source.provider, error is None, read, put["written"],
+                                   read - put["written"], put["lo"], put["hi"], error))
+                    break
+            except Exception as exc:  # noqa: BLE001 - one bad source must not stop the others
+                error = error or f"{type(exc).__name__}: {str(exc)[:200]}"
+        else:
+            report.append((source.provider, False, 0, 0, 0, None, None, error))
     return spark.createDataFrame(
         report, "provider string, ok boolean, read long, written long, skipped long, "
                 "first_month string, last_month string, error string")
 
 
+def _take(spark: SparkSession, source: Source, path: str, since: str | None,
+          lenient: bool) -> tuple[int, dict]:
+    """One source into the store; ``lenient`` passes over files that cannot be read."""
+    key, seen, wrote = "spark.sql.files.ignoreCorruptFiles", Observation(), Observation()
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(lenient).lower())
+    try:
+        # Stored once: the log is parsed once, and its months are known before it is compared.
+        fresh = write_and_read(source.read(spark, since).observe(
+            seen, F.count(F.lit(1)).alias("read")), "fresh")
+        if _exists(spark, path):
+            fresh = reconcile_months(fresh, path)
+        else:
+            fresh = first_copies(fresh)
+        append(fresh.observe(wrote, F.count(F.lit(1)).alias("written"),
+                             F.min(month_of(F.col("ts_raw"))).alias("lo"),
+                             F.max(month_of(F.col("ts_raw"))).alias("hi")), path)
+        return seen.get["read"], wrote.get
+    finally:
+        spark.conf.set(key, before)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -6,15 +6,17 @@ until the available input is used up and leaves its progress in a checkpoint.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterline.schema import event_key
-from meterline.sources.store import _exists, month_of, reconcile, scan
+from meterline.sources.store import (UNDATED, _exists, append, first_copies, month_of, reconcile,
+                                      reconcile_months, scan)
 
 LATE_ROLLUP = "2 hours"   # how late a turn may be and still be counted in a window
-LATE_REBUILD_DAYS = 2     # fixed value: days that late submissions may still change
 
 
 def watch_tables(spark: SparkSession, path: str, schema: T.StructType,
@@ -46,7 +48,8 @@ def _finish(query) -> None:
 
 def ingest(turns: DataFrame, store: str, checkpoint: str) -> None:
     """Append new turns by month; a second run with nothing new writes nothing."""
-    out = turns.withColumn("month", month_of(F.col("ts_raw")))
+    out = turns.withColumns({"ingest": F.unix_micros(F.current_timestamp()),
+                             "month": month_of(F.col("ts_raw"))})
     _finish(out.writeStream.format("parquet").partitionBy("month").option("path", store)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
@@ -61,10 +64,20 @@ def refresh_grown(spark: SparkSession, load, store: str, since: str) -> DataFram
     return reconcile(fresh, scan(spark, store).drop("month")) if _exists(spark, store) else fresh
 
 
-def once_only(turns: DataFrame, within: str = "1 day") -> DataFrame:
-    """Drop repeats of a turn that arrive within the watermark."""
-    return turns.withColumn("_key", event_key()).withWatermark("ts", within) \
-        .dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+def once_only(turns: DataFrame, store: str, checkpoint: str) -> None:
+    """Append each turn once, however late a copy comes and however the files are cut.
+
+    A batch is compared with the store by key, within the months that it touches: a key
+    holds its stamp, so a copy lies in the same month. A batch that is run again finds its
+    own rows there and adds nothing.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = reconcile_months(batch, store) if _exists(spark, store) else first_copies(batch)
+        append(fresh, store)
+
+    _finish(turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def append_to(frame: DataFrame, path: str, checkpoint: str) -> None:
@@ -101,55 +114,124 @@ def session_rollup(turns: DataFrame, gap: str | None = None, by: str | None = No
             .agg(*facts).drop("session_window"))
 
 
-def keep_latest(frame: DataFrame, path: str, checkpoint: str) -> None:
-    """Update-mode sink: each batch's changed rows go to their own folder.
+def session_totals(turns: DataFrame, path: str, checkpoint: str) -> None:
+    """Facts per session id, kept up to date without streaming state.
+
+    A batch is combined to one row per session and merged with the version before; the next
+    version is written beside it. So memory does not grow with the sessions ever seen, and a
+    batch that is run again starts from the same version.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _next_version(session_rollup(batch), path, batch_id, lambda before, new: (
+            before.unionByName(new).groupBy("session").agg(
+                F.sum("turns").alias("turns"), F.sum("output").alias("output"), F.min("start").alias("start"),
+                F.max("end").alias("end"), F.max("peak_context").alias("peak_context"))))
+
+    _finish(turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def keep_latest(frame: DataFrame, path: str, checkpoint: str, key: str) -> None:
+    """Update-mode sink: one row per key, the newest.
 
-    A batch that is run again overwrites its folder, so nothing doubles.
+    Each batch's changed rows are merged with the version before and written as the next
+    version; older versions go, so neither the folder nor a read grows with the batches. A
+    batch that is run again overwrites its own version.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        changed = batch.select(F.col(key).alias("_k"))
+        _next_version(batch, path, batch_id, lambda before, new: new.unionByName(
+            before.join(changed, before[key].eqNullSafe(changed["_k"]), "left_anti")))
 
     _finish(frame.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Current state of an update-mode sink: the newest row of each key."""
-    rows = spark.read.parquet(path)
-    cols = [c for c in rows.columns if c != "batch"]
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*cols), "batch").alias("r"))
-    return newest.select("r.*")
+def _next_version(new: DataFrame, path: str, batch_id: int, merge) -> None:
+    spark = new.sparkSession
+    older = [v for v in _versions(spark, path) if v < batch_id]
+    rows = new
+    if older:
+        rows = merge(spark.read.schema(new.schema).parquet(f"{path}/version={older[-1]}"), new)
+    rows.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    for v in older[:-1]:  # the last one stays in case this batch is run again
+        _delete(spark, f"{path}/version={v}")
 
 
-def rebuild_days(turns: DataFrame, raw: str, rollup: str, checkpoint: str,
-                 measures: list[Column], late_days: int = LATE_REBUILD_DAYS) -> None:
-    """Keep a per-day rollup right while submissions up to two days late arrive.
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """Current state of an update-mode sink."""
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions below ``path``, oldest first."""
+    return sorted(int(v) for v in _folders(spark, path, "version=")
+                  if _exists(spark, f"{path}/version={v}/_SUCCESS"))
+
 
-    A batch lands in its own folder, then the days it touched are recomputed
-    from all landed rows and those partitions overwritten. Rows older than the
-    reach are dropped, as a watermark would.
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def rebuild_days(turns: DataFrame, raw: str, rollup: str, checkpoint: str,
+                 measures: list[Column], reach_days: int | None = None) -> None:
+    """Keep a per-day rollup right while late submissions arrive.
+
+    Every row of a batch lands, whatever its stamp; then the days the batch touched are
+    recomputed from all landed rows and those partitions overwritten, so the result does not
+    depend on how files are cut into batches. Rows without a stamp are one group, ``date``
+    null. With ``reach_days`` only days up to so far before the newest landed one are
+    recomputed; ``stale_days`` lists the others.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if _exists(spark, raw):
-            newest = spark.read.parquet(raw).filter(F.col("batch") < batch_id).agg(
-                F.max("date")).first()[0]
-        else:
-            newest = None
-        dated = batch.withColumn("date", F.to_date("ts"))
-        if newest is not None:
-            dated = dated.filter(F.col("date") >= F.date_sub(F.lit(newest), late_days))
-        dated.write.mode("overwrite").partitionBy("date").parquet(f"{raw}/batch={batch_id}")
-        if not _exists(spark, f"{raw}/batch={batch_id}"):
-            return
-        landed = spark.read.option("basePath", raw).parquet(raw)
-        # One value per calendar day of a batch, so the list stays short.
-        days = [r[0] for r in landed.filter(F.col("batch") == batch_id).select("date")
-                .distinct().collect()]
+        day = F.coalesce(F.to_date("ts").cast("string"), F.lit(UNDATED))
+        batch.withColumn("date", day).write.mode("overwrite").partitionBy("date").parquet(
+            f"{raw}/batch={batch_id}")
+        here = f"{raw}/batch={batch_id}"
+        # One value per calendar day, read from the folders' names.
+        days = _days_of(spark, here)
+        if reach_days is not None and days:
+            newest = max((d for d in _all_days(spark, raw) if d != UNDATED), default=None)
+            first = None if newest is None else str(
+                dt.date.fromisoformat(newest) - dt.timedelta(days=reach_days))
+            days = [d for d in days if first is None or (d != UNDATED and d >= first)]
         if days:
+            landed = spark.read.schema(batch.schema.add("batch", "long").add("date", "string")) \
+                .option("basePath", raw).parquet(raw)
             (landed.filter(F.col("date").isin(days)).groupBy("date").agg(*measures)
+             .withColumn("built", F.lit(batch_id))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("date").parquet(rollup))
 
     _finish(turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def stale_days(spark: SparkSession, raw: str, rollup: str) -> list[str]:
+    """Days with landed rows that a later batch than their rollup brought."""
+    built = {r["date"]: r["built"] for r in spark.read.schema("built long, date string").parquet(rollup)
+             .groupBy("date").agg(F.max("built").alias("built")).collect()}
+    newest: dict[str, int] = {}
+    for batch in _folders(spark, raw, "batch="):
+        for day in _days_of(spark, f"{raw}/batch={batch}"):
+            newest[day] = max(newest.get(day, -1), int(batch))
+    return sorted(d for d, b in newest.items() if built.get(d, -1) < b)
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    if not _exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = (f.getPath().getName() for f in fs.listStatus(p))
+    return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+
+def _days_of(spark: SparkSession, batch: str) -> list[str]:
+    return _folders(spark, batch, "date=")
+
+
+def _all_days(spark: SparkSession, raw: str) -> set[str]:
+    return {d for b in _folders(spark, raw, "batch=") for d in _days_of(spark, f"{raw}/batch={b}")}

@@ -187,6 +187,13 @@ def a13(spark, sf):
     return turns(spark, sf).groupBy(A.workspace(cwd).alias("workspace")).agg(F.count("*").alias("n"))
 
 
+@query("a14_session_id", with_turns("SELECT session, count(*) AS n FROM turns GROUP BY 1"))
+def a14_id(spark, sf):
+    """Whole ids are kept: no two sessions merge."""
+    return turns(spark, sf).groupBy(A.session_id(F.col("session")).alias("session")) \
+        .agg(F.count("*").alias("n"))
+
+
 @query("a14_short_session", with_turns(
     "SELECT left(session, 8) AS session, count(*) AS n FROM turns GROUP BY 1"))
 def a14(spark, sf):

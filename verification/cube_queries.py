@@ -77,7 +77,7 @@ def c05(spark, sf):
 # The spine is laid over the order days, so its length follows the table.
 @query("c06_date_spine", """
 WITH d AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders),
-s AS (SELECT unnest(generate_series(lo, least(hi, lo + 799), INTERVAL 1 DAY)) AS day FROM d),
+s AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS day FROM d),
 n AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1)
 SELECT strftime(s.day, '%Y-%m-%d') AS date, coalesce(n.orders, 0) AS orders
 FROM s LEFT JOIN n ON CAST(s.day AS DATE) = n.day""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meterline.config import CURRENCIES, Thresholds
 from meterline.operators import detectors as D
 from meterline.plans.digest import Digest
-from verification.registry import query
+from verification.registry import ORACLES, query
 from verification.rollup_queries import SESSIONS_SQL, _doubled
 from verification.tables import CARD, TOPOLOGY, digest, with_priced, with_turns
 
@@ -282,50 +282,47 @@ def d17(spark, sf):
                 ["duplicate_turns", "distinct_turns", "share_of_store_pct"])
 
 
-def _three(spark, sf, gate):
-    """Costed findings at thresholds where the gate demotes some of them."""
-    d = digest(spark, sf).stored()
-    t = replace(T, light_turn_output=5000, explore_min_reads=2, material_monthly_usd=gate)
-    return D.findings(d, t, detectors=[
-        D.cold_cache_sessions, D.premium_model_on_light_work, D.exploration_without_output,
-        D.subagent_leverage, D.session_churn])
+# The thresholds of the queries above, together; turns of the plain table never repeat, so
+# the seventeenth detector has nothing to say.
+T_ALL = replace(T, light_turn_output=5000, explore_min_reads=2, context_bloat_tokens=150000,
+                tool_concentration=0.3, concentration_floor=0.3)
+_EACH = ("d01_cache_efficiency", "d02_cold_cache_sessions", "d03_premium_light_work", "d04_exploration",
+         "d05_context_bloat", "d06_session_churn", "d07_subagent_leverage", "d08_cache_ttl",
+         "d09_tool_concentration", "d10_investment_concentration", "d11_working_rhythm", "d12_peak_window",
+         "d13_plan_value", "d14_vendor_concentration", "d15_local_currency", "d16_unpriced")
 
 
-def _costed_sql(gate: float, tail: str) -> str:
-    return with_priced(f"""
-, v2 AS (SELECT {MONTH("sum(cost) * 0.2")} AS s FROM sessions WHERE cache_create >= 20000 AND cache_read = 0 HAVING count(*) > 0),
-v3 AS (SELECT {MONTH(f"sum(output) * ({DBL('25.0 - 15.0')} / 1000000) * 0.4")} AS s FROM priced
-  WHERE model_tier IN ('frontier', 'opus') HAVING count(*) >= 20),
-v4 AS (SELECT {MONTH("sum(cost) * 0.3")} AS s FROM sessions WHERE reads >= 2 AND writes = 0 AND cost >= 0.5 HAVING count(*) > 0),
-v5 AS (SELECT CASE WHEN sum(output) FILTER (sidechain) / {DBL("sum(output)")} > 0.5 THEN 1 ELSE 0 END AS f FROM priced),
-v6 AS (SELECT count(*) AS n, count(*) FILTER (turns <= 3) AS short FROM sessions),
-f AS (SELECT 'cache-write-never-read' AS id, 'high' AS sev, s AS saving, 0 AS detector FROM v2
-  UNION ALL SELECT 'premium-tier-light-turns', 'medium', s, 1 FROM v3
-  UNION ALL SELECT 'read-heavy-no-change', 'medium', s, 2 FROM v4
-  UNION ALL SELECT CASE f WHEN 1 THEN 'subagent-fanout' ELSE 'delegation-balanced' END,
-    CASE f WHEN 1 THEN 'medium' ELSE 'info' END, NULL, 3 FROM v5
-  UNION ALL SELECT 'session-churn', 'medium', NULL, 4 FROM v6 WHERE n >= 10 AND short / {DBL("n")} >= 0.4),
-g AS (SELECT id, saving, detector, coalesce(saving < {gate} AND sev IN ('high', 'medium'), false) AS demoted,
+def all_findings(spark, sf, gate=T.material_monthly_usd):
+    """What all detectors find, through the materiality gate."""
+    return D.findings(digest(spark, sf).stored(), replace(T_ALL, material_monthly_usd=gate),
+                      plan="glm-coding-lite", currency="IDR")
+
+
+def all_findings_sql(tail: str, gate: float = T.material_monthly_usd) -> str:
+    """The single queries' SQL put together, then gated."""
+    each = " UNION ALL ".join(f"SELECT {i} AS detector, id, severity AS sev, saving FROM ({ORACLES[name]})"
+                              for i, name in enumerate(_EACH))
+    return f"""WITH f AS ({each}),
+g AS (SELECT detector, id, saving, coalesce(saving < {gate} AND sev IN ('high', 'medium'), false) AS demoted,
   CASE WHEN coalesce(saving < {gate} AND sev IN ('high', 'medium'), false) THEN 'low' ELSE sev END AS severity FROM f)
-{tail}""", SESSIONS_SQL)
+{tail}"""
 
 
-@query("d18_materiality", _costed_sql(20.0, "SELECT id, severity, saving, demoted FROM g"))
+@query("d18_materiality", all_findings_sql("SELECT id, severity, saving, demoted FROM g", 20.0))
 def d18(spark, sf):
-    return _three(spark, sf, 20.0).select("id", "severity", "saving", "demoted")
+    return all_findings(spark, sf, 20.0).select("id", "severity", "saving", "demoted")
 
 
-@query("d19_ranked_findings", _costed_sql(15.0, """
+@query("d19_ranked_findings", all_findings_sql("""
 SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1
   WHEN 'low' THEN 2 ELSE 3 END, coalesce(saving, 0) DESC, detector) AS place, id, severity, saving FROM g"""))
 def d19(spark, sf):
     from pyspark.sql import Window as W
-    f = _three(spark, sf, 15.0)
     order = F.array_position(F.array(*[F.lit(x) for x in ("high", "medium", "low", "info")]),
                              F.col("severity"))
     w = W.partitionBy(F.lit(1)).orderBy(order, F.desc(F.coalesce("saving", F.lit(0.0))),
                                         "detector")
-    return f.select(F.row_number().over(w).alias("place"), "id", "severity", "saving")
+    return all_findings(spark, sf).select(F.row_number().over(w).alias("place"), "id", "severity", "saving")
 
 
 @query("d20_silent_without_data", with_turns("""
@@ -338,8 +335,6 @@ def d20(spark, sf):
     return D.findings(empty, T).select("id", "severity", "saving")
 
 
-@query("d20_all_findings")
+@query("d20_all_findings", all_findings_sql("SELECT detector, id, severity, saving, demoted FROM g"))
 def d20_all(spark, sf):
-    d = digest(spark, sf).stored()
-    return D.findings(d, T, plan="claude-pro", currency="IDR").select(
-        "detector", "id", "severity", "saving", "demoted")
+    return all_findings(spark, sf).select("detector", "id", "severity", "saving", "demoted")

@@ -258,3 +258,28 @@ SELECT person, max(used) AS peak_used, round_even(quantile_cont(CAST(used AS DOU
 def p22_calendar(spark, sf):
     used = P.calendar_usage(turns(spark, sf), "person", 7)
     return P.quota_headroom(used, 10000).withColumn("p90_used", F.bround("p90_used", 6))
+
+
+@query("p22_plan_headroom", with_turns("""
+, s AS (SELECT person, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS turns FROM turns GROUP BY ALL),
+r AS (SELECT person, sum(turns) OVER (PARTITION BY person ORDER BY second
+  RANGE BETWEEN 18000 PRECEDING AND CURRENT ROW) AS used FROM s),
+c AS (SELECT person, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 7 AS week, count(*) AS used
+  FROM turns GROUP BY ALL),
+u AS (SELECT person, 'rolling' AS kind, 5 AS length, used FROM r UNION ALL SELECT person, 'calendar', 7, used FROM c),
+g AS (SELECT person, kind, length, CAST(max(used) AS BIGINT) AS peak_used,
+  quantile_cont(CAST(used AS DOUBLE), 0.9) AS p90 FROM u GROUP BY ALL),
+w AS (SELECT *, CASE WHEN CAST(person AS BIGINT) % 3 = 0 THEN CASE kind WHEN 'rolling' THEN 400 ELSE 60000 END END AS amount
+  FROM g WHERE CAST(person AS BIGINT) % 3 < 2)
+SELECT person, CASE WHEN amount IS NULL THEN 'claude-pro' ELSE 'glm-coding-pro' END AS plan, kind, length, peak_used,
+  round_even(p90, 6) AS p90_used, round_even(coalesce(CAST(amount AS DOUBLE), p90), 6) AS quota,
+  CASE WHEN amount IS NULL THEN 'own p90' ELSE 'published' END AS basis,
+  round_even(peak_used * 100.0::DOUBLE / coalesce(CAST(amount AS DOUBLE), p90), 1) AS peak_pct FROM w"""))
+def p22_plan(spark, sf):
+    """Each person's use against the windows of the plan that person holds; one plan has none."""
+    t = turns(spark, sf)
+    n = F.col("person").cast("long") % 3
+    holders = t.select("person").distinct().select("person", F.when(n == 0, "glm-coding-pro").when(
+        n == 1, "claude-pro").otherwise("none").alias("plan"))
+    return P.plan_headroom(t, "person", holders).withColumns(
+        {"p90_used": F.bround("p90_used", 6), "quota": F.bround("quota", 6)})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meterline.operators import cohorts as K
 from meterline.operators import privacy as H
+from verification.detector_queries import all_findings, all_findings_sql
 from verification.registry import query
 from verification.rollup_queries import SESSIONS_SQL
 from verification.source_queries import chat_lines
@@ -63,7 +64,7 @@ def _mix_sql(col: str) -> str:
 , v AS (SELECT person, coalesce({col}, 'unknown') AS value, CAST(sum(output) AS BIGINT) AS o FROM priced GROUP BY 1, 2),
 w AS (SELECT *, sum(o) OVER (PARTITION BY person) AS t,
   row_number() OVER (PARTITION BY person ORDER BY o DESC, value) AS place FROM v)
-SELECT person, value, CAST(round_even({D(100)} * o / CAST(t AS BIGINT), 0) AS INTEGER) AS share FROM w WHERE place <= 6""")
+SELECT person, value, CAST(round_even({D(100)} * o / CAST(t AS BIGINT), 0) AS INTEGER) AS share FROM w""")
 
 
 @query("h03_vendor_mix", _mix_sql("vendor"))
@@ -81,42 +82,46 @@ def h03_tier(spark, sf):
 @query("h04_repo_shape", with_priced("""
 , b AS (SELECT DISTINCT person, CAST(('0x' || left(sha256('repo-shape' || chr(0) || repo), 8))::BIGINT % 64 AS INTEGER) AS b
   FROM priced WHERE repo IS NOT NULL AND repo NOT IN ('unattributed', 'unknown'))
-SELECT person, list_sort(list(b))[1:12] AS repo_shape FROM b GROUP BY 1"""))
+SELECT person, list_sort(list(b)) AS repo_shape FROM b GROUP BY 1"""))
 def h04(spark, sf):
     return H.repo_shape(digest(spark, sf).priced)
 
 
-@query("h05_fired_findings", with_priced(f"""
-, t AS (SELECT sum(cache_read) AS cr, sum(cache_create) AS cc, sum(input) AS i, sum(output) AS o,
-  sum(output) FILTER (sidechain) AS sub, sum(cache_1h) AS c1 FROM priced),
-c AS (SELECT count(*) AS n, count(*) FILTER (turns <= 3) AS short,
-  count(*) FILTER (cache_create >= 20000 AND cache_read = 0) AS cold FROM sessions),
-f AS (SELECT CASE WHEN cr / {D("cr + cc + i")} >= 0.55 THEN 'cache-healthy' ELSE 'cache-cold' END AS id FROM t
-  UNION ALL SELECT 'cache-write-never-read' FROM c WHERE cold > 0
-  UNION ALL SELECT 'session-churn' FROM c WHERE n >= 10 AND short / {D("n")} >= 0.4
-  UNION ALL SELECT CASE WHEN sub IS NULL THEN 'no-delegation' WHEN sub / {D("o")} > 0.5 THEN 'subagent-fanout'
-    ELSE 'delegation-balanced' END FROM t)
-SELECT list_sort(list(id)) AS findings FROM f""", SESSIONS_SQL))
+@query("h05_fired_findings", all_findings_sql("SELECT list_sort(list(id)) AS findings FROM g"))
 def h05(spark, sf):
-    from meterline.operators import detectors as X
-    d = digest(spark, sf).stored()
-    return H.fired(X.findings(d, detectors=[X.cache_efficiency, X.cold_cache_sessions,
-                                            X.session_churn, X.subagent_leverage]))
+    return H.fired(all_findings(spark, sf))
+
+
+@query("h05_payload_findings", with_turns("""
+SELECT person, list_sort(list(DISTINCT 'f' || (seq % 3))) AS findings FROM turns GROUP BY 1"""))
+def h05_payload(spark, sf):
+    """Findings looked for per person go into that person's payload."""
+    p = reported(spark, sf)
+    found = p.select("person", F.concat(F.lit("f"), F.col("seq") % 3).alias("id"))
+    return H.payload(p, rates(spark).base, findings=found).select("person", "findings")
 
 
 @query("h06_audit", with_turns("""
 SELECT 'session' AS hit UNION ALL SELECT 'extra/branch' UNION ALL
+SELECT DISTINCT 'list/*/email' FROM turns UNION ALL SELECT DISTINCT 'deep/*/*/cwd' FROM turns WHERE seq % 5 = 0 UNION ALL
+SELECT DISTINCT 'second/*/prompt' FROM turns WHERE seq % 3 = 0 UNION ALL
 SELECT DISTINCT 'counts/' || CASE WHEN tool = 'Bash' THEN 'prompt' ELSE 'cwd' END
 FROM (SELECT unnest(tools) AS tool FROM turns) WHERE tool IN ('Bash', 'Edit')"""))
 def h06(spark, sf):
-    """A payload with names planted in columns, nested fields and map keys."""
+    """Names planted in columns, nested fields, map keys, later list elements and map values."""
     from verification.tables import turns
     t = turns(spark, sf)
     planted = t.select(
         "person", "session", F.struct(F.lit(1).alias("branch"), F.lit(2).alias("n")).alias("extra"),
         F.map_from_entries(F.transform("tools", lambda x: F.struct(
             F.when(x == "Bash", "prompt").when(x == "Edit", "cwd").when(x == "Read", "a")
-            .otherwise("b"), F.lit(1)))).alias("counts"))
+            .otherwise("b"), F.lit(1)))).alias("counts"),
+        F.array(F.struct(F.lit(1).alias("email"))).alias("list"),
+        F.array(F.array(F.create_map(F.lit("k"), F.lit(1))), F.array(
+            F.create_map(F.lit("z"), F.lit(1)), F.create_map(F.when(F.col("seq") % 5 == 0, "cwd").otherwise("y"),
+                                                             F.lit(2)))).alias("deep"),
+        F.create_map(F.lit("a"), F.create_map(F.lit("k"), F.lit(1)), F.lit("b"), F.create_map(
+            F.when(F.col("seq") % 3 == 0, "prompt").otherwise("n"), F.lit(1))).alias("second"))
     return H.audit(planted)
 
 
@@ -164,9 +169,12 @@ def h08(spark, sf):
 
 
 @query("h08_draft_spec", """
-SELECT * FROM (VALUES ('cache_read', 'usage.details.cached'), ('input', 'usage.prompt'), ('model', 'model'),
-  ('output', 'usage.completion'), ('ts', 'usage.details.created'), ('ts_unit', 'seconds')) v(slot, value)
-WHERE EXISTS (SELECT 1 FROM events)""")
+WITH p AS (SELECT * FROM events WHERE event_id % 5 <> 0)
+SELECT DISTINCT v.slot, v.value FROM p, (VALUES ('input', 'usage.prompt'), ('output', 'usage.completion'),
+  ('cache_read', 'usage.details.cached')) v(slot, value)
+UNION ALL SELECT DISTINCT 'model', 'model' FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT 'where:role', any_value(role) FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role
+  FROM p) HAVING count(DISTINCT role) = 1""")
 def h08_spec(spark, sf):
     """No marker separates the priced records here: both roles carry usage."""
     spec = H.draft_spec(records(chat_lines(spark, sf)), F.col("line"))
@@ -254,6 +262,39 @@ def k03(spark, sf):
     return K.upsert(f, fresh).select("auid", "date", "turns", "price_epoch")
 
 
+@query("k03_written_facts", with_plain(f", {FACTS_SQL} " + K3.format(new="date > '2024-01-16'")))
+def k03_written(spark, sf):
+    """The same through a store on disk: written twice, one row per person and day."""
+    from meterline.cluster import scratch_path
+    f, path = facts(spark, sf), scratch_path(spark, "facts")
+    K.write_facts(f, path)
+    for _ in range(2):
+        K.write_facts(K.write_set(f.withColumn("price_epoch", F.lit(2)), "2024-01-30"), path)
+    return spark.read.schema(f.schema).parquet(path).select("auid", "date", "turns", "price_epoch")
+
+
+@query("k04_written_changes", with_plain(f"""
+, {FACTS_SQL} SELECT DISTINCT date FROM facts WHERE date IN ('2024-01-05', '2024-01-09')"""))
+def k04_written(spark, sf):
+    """Only the days with a changed or a missing row are written."""
+    from meterline.cluster import scratch_path
+    f, path = facts(spark, sf), scratch_path(spark, "facts")
+    K.write_facts(f.filter("date <> '2024-01-09'").withColumn("fingerprint", F.when(
+        F.col("date") == "2024-01-05", "old").otherwise(F.col("fingerprint"))), path)
+    return spark.createDataFrame([(d,) for d in K.write_changed(f, path)], "date string")
+
+
+@query("k11_pruned_store", with_plain(f""", {FACTS_SQL} SELECT date, count(*) AS people FROM facts
+WHERE date > '2024-01-16' GROUP BY 1"""))
+def k11_pruned(spark, sf):
+    """Folders past retention are removed from the store."""
+    from meterline.cluster import scratch_path
+    f, path = facts(spark, sf), scratch_path(spark, "facts")
+    K.write_facts(f, path)
+    K.prune_facts(spark, path, "2024-02-20")
+    return spark.read.schema(f.schema).parquet(path).groupBy("date").agg(F.count("*").alias("people"))
+
+
 @query("k04_changed_days", with_plain(f"""
 , {FACTS_SQL} SELECT auid, date FROM facts
 WHERE date = '2024-01-05' OR CAST(auid AS BIGINT) % 10 = 3 OR CAST(auid AS BIGINT) % 10 = 4"""))

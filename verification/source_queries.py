@@ -10,6 +10,7 @@ from meterline.schema import event_key
 from meterline.sources import logs as L
 from meterline.sources import native as N
 from meterline.sources import store as S
+from meterline.sources.registry import LogSource
 from meterline.sources.spec import SpecSource
 from verification.registry import query
 from verification.rollup_queries import _doubled
@@ -78,7 +79,7 @@ CHAT_SQL = f"""chat AS (SELECT *, '/logs/u' || (user_id % {FILES}) || '/log.json
   event_id % 900 + 1000 AS prompt, event_id % 800 AS cached, event_id % 50 AS created
   FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0),
 chat_turns AS (SELECT event_id AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts_raw,
-  CASE WHEN event_id % 4 <> 0 THEN 'conversa' ELSE CAST(user_id % {FILES} AS VARCHAR) END AS session,
+  CASE WHEN event_id % 4 <> 0 THEN 'conversation-' || user_id ELSE CAST(user_id % {FILES} AS VARCHAR) END AS session,
   'r' || user_id AS workspace, 'r' || user_id AS repo,
   CASE WHEN event_id % 2 = 0 THEN ['docs', 'src/a'] ELSE CAST([] AS VARCHAR[]) END AS surfaces,
   CASE event_id % 7 WHEN 0 THEN 'ide' WHEN 1 THEN 'web' ELSE 'cli' END AS entrypoint,
@@ -263,7 +264,7 @@ def transcript_lines(spark, sf):
 WITH a AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   CAST(row_number() OVER (PARTITION BY user_id % {FILES} ORDER BY event_id) AS INTEGER) AS turn
   FROM events WHERE event_id % 3 <> 0)
-SELECT event_id AS seq, turn, 'abcdefgh' AS session, 'ide' AS entrypoint, 'mid-a' AS model,
+SELECT event_id AS seq, turn, 'abcdefgh' || user_id AS session, 'ide' AS entrypoint, 'mid-a' AS model,
   'clients' AS repo, k % 9 = 0 AS sidechain, event_id % 500 AS input, event_id % 90 + 1 AS output,
   event_id % 40 AS cache_create, event_id % 3000 AS cache_read, event_id % 40 AS cache_1h,
   CAST(0 AS BIGINT) AS cache_5m, CAST(event_id % 2 AS INTEGER) AS web_search, ['Edit'] AS tools,
@@ -274,6 +275,55 @@ def s14(spark, sf):
         "cache_create", "cache_read", "cache_1h", "cache_5m", "web_search", "tools", "tier")
 
 
+def on_disk(spark, lines, path, keep="true"):
+    """Lines as log files: a folder with one file per log, in the order of the lines."""
+    name = F.translate(F.col("file"), "/", "_").alias("log")
+    (lines.filter(keep).select(name, "block", "line", "value").repartition("log")
+     .sortWithinPartitions("log", "block", "line").select("log", "value")
+     .write.mode("overwrite").partitionBy("log").text(path))
+
+
+def from_disk(spark, lines, read):
+    """Turns of written and reread logs, through a source that finds its own files."""
+    path = scratch_path(spark, "logs")
+    on_disk(spark, lines, path)
+    return LogSource("disk", [f"{path}/*/*"], read, TOPOLOGY).load(spark)
+
+
+@query("s14_files", f"""
+WITH a AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id % {FILES} ORDER BY event_id) AS INTEGER) AS turn
+  FROM events WHERE event_id % 3 <> 0)
+SELECT 'abcdefgh' || user_id AS session, turn, event_id % 500 AS input, event_id % 90 + 1 AS output,
+  event_id % 40 AS cache_create, event_id % 3000 AS cache_read FROM a WHERE event_id % 4 <> 0""")
+def s14_files(spark, sf):
+    """Transcripts written as files and found again by a source."""
+    return from_disk(spark, transcript_lines(spark, sf), N.transcript).select(
+        "session", "turn", "input", "output", "cache_create", "cache_read")
+
+
+@query("s26_grown_logs", """
+WITH t AS (SELECT event_id, (SELECT max(event_id) // 2 FROM events) AS half FROM events
+  WHERE event_id % 3 <> 0 AND event_id % 4 <> 0)
+SELECT 'first' AS run, count(*) FILTER (event_id < half) AS written, count(*) FILTER (event_id < half) AS read FROM t
+UNION ALL SELECT 'grown', count(*) FILTER (event_id >= half), count(*) FROM t
+UNION ALL SELECT 'again', 0, count(*) FROM t UNION ALL SELECT 'unchanged', 0, 0""")
+def s26_grown(spark, sf):
+    """Logs grow between syncs: only the new turns are added; unchanged logs are not read."""
+    path, store = scratch_path(spark, "logs"), scratch_path(spark, "store")
+    lines = transcript_lines(spark, sf)
+    half = events(spark, sf).agg(F.floor(F.max("event_id") / 2)).first()[0]
+    source, runs = [LogSource("disk", [f"{path}/*/*"], N.transcript, TOPOLOGY).source()], []
+    for run, keep, since in (("first", f"line < {half}", None), ("grown", "true", "2000-01-01T00:00:00"),
+                             ("again", None, None), ("unchanged", None, "2100-01-01T00:00:00")):
+        if keep:
+            on_disk(spark, lines, path, keep)
+        runs.append(S.sync(spark, source, store, since=since).select(F.lit(run).alias("run"), "written", "read"))
+    out = runs[0]
+    for more in runs[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def rollout_lines(spark, sf):
     """Settings, calls and running totals; totals repeat, and reset now and then."""
     i, u = F.col("event_id"), F.col("user_id")
@@ -325,8 +375,18 @@ def s15(spark, sf):
         "seq", "turn", "input", "cache_read", "output")
 
 
+@query("s15_files", ROLLOUT_SQL + """
+SELECT d * 10 + 5 AS number, CAST(n AS INTEGER) AS turn, step * 2 AS input, step AS cache_read, step * 2 AS output
+FROM w WHERE emits""")
+def s15_files(spark, sf):
+    """Running totals from files; the turn is known by the number in its session's id."""
+    t = from_disk(spark, rollout_lines(spark, sf), N.rollout)
+    number = F.regexp_extract("session", "([0-9]+)$", 1).cast("long") + 4
+    return t.select(number.alias("number"), "turn", "input", "cache_read", "output")
+
+
 @query("s16_carried_settings", ROLLOUT_SQL + """
-SELECT d * 10 + 5 AS seq, 'thread-' || CAST(d * 10 + 1 AS VARCHAR)[:1] AS session, 'light-a' AS model, 'high' AS effort,
+SELECT d * 10 + 5 AS seq, 'thread-' || (d * 10 + 1) AS session, 'light-a' AS model, 'high' AS effort,
   CASE WHEN d % 2 = 0 THEN 'ide' END AS entrypoint, CASE WHEN d % 2 = 0 THEN 'ctx' ELSE 'meta' END AS workspace
 FROM w WHERE emits""")
 def s16(spark, sf):
@@ -410,6 +470,13 @@ def s19(spark, sf):
         "seq", "turn", "model", "effort")
 
 
+@query("s19_files", OPLOG_SQL + """
+SELECT turn, model, effort, count(*) AS n FROM o GROUP BY ALL""")
+def s19_files(spark, sf):
+    return from_disk(spark, oplog_lines(spark, sf), N.oplog).groupBy("turn", "model", "effort") \
+        .agg(F.count("*").alias("n"))
+
+
 @query("s20_step_calls", OPLOG_SQL + """
 SELECT d * 10 + 5 AS seq, ['ReadFile', 'Shell'] AS tools, coalesce(cwd, 'ops') AS repo,
   CASE WHEN cwd IS NULL THEN ['docs'] ELSE CAST([] AS VARCHAR[]) END AS surfaces FROM o""")
@@ -440,7 +507,7 @@ def s22(spark, sf):
 
 
 @query("s23_path_ids", OPLOG_SQL + """
-SELECT d * 10 + 5 AS seq, 'session-' AS session, f % 3 = 2 AS sidechain,
+SELECT d * 10 + 5 AS seq, 'session-' || f AS session, f % 3 = 2 AS sidechain,
   CASE WHEN f % 3 = 2 THEN 'helper' END AS agent,
   CASE WHEN f % 4 = 0 THEN 'dir' || f WHEN f % 7 < 2 THEN 'Named ' || (f % 7) ELSE 'proj' || (f % 7) END AS workspace
 FROM o""")
@@ -459,16 +526,32 @@ def s23(spark, sf):
         "seq", "session", "sidechain", "agent", "workspace")
 
 
+@query("s24_files", f"""
+WITH a AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id % {FILES} ORDER BY conv_id * 1000 + turn) AS INTEGER) AS n
+  FROM conversations WHERE role = 'assistant')
+SELECT n AS turn, CASE WHEN turn % 4 = 3 THEN 77 ELSE 1500 END AS input,
+  CASE WHEN turn % 4 = 3 THEN 33 ELSE greatest(10, length(text) // 4) END AS output, count(*) AS logs FROM a GROUP BY ALL""")
+def s24_files(spark, sf):
+    return from_disk(spark, planner_lines(spark, sf), N.planner).groupBy("turn", "input", "output") \
+        .agg(F.count("*").alias("logs"))
+
+
 @query("s24_planner_log", f"""
 WITH a AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id % {FILES} ORDER BY conv_id * 1000 + turn) AS INTEGER) AS n
   FROM conversations WHERE role = 'assistant')
-SELECT conv_id * 1000 + turn AS seq, n AS turn, left('brain-' || (conv_id % {FILES}), 8) AS session,
+SELECT conv_id * 1000 + turn AS seq, n AS turn, 'brain-' || (conv_id % {FILES}) AS session,
   CASE WHEN turn % 4 = 1 THEN 'mid-a' ELSE 'gemini-3.6-flash' END AS model, 'high' AS effort,
   CASE WHEN turn % 4 = 3 THEN 77 ELSE 1500 END AS input,
   CASE WHEN turn % 4 = 3 THEN 33 ELSE greatest(10, length(text) // 4) END AS output,
   ['view_file'] AS tools, 'shop' AS repo, 'a.ts' AS workspace FROM a""")
 def s24(spark, sf):
     """Whole message texts are measured; a turn with counts keeps them."""
+    return N.planner(planner_lines(spark, sf), TOPOLOGY, chunk="block").select(
+        "seq", "turn", "session", "model", "effort", "input", "output", "tools", "repo",
+        "workspace")
+
+
+def planner_lines(spark, sf):
     c = table(spark, sf, "conversations")
     rec = F.struct(
         F.lit("MODEL").alias("source"), F.when(F.col("role") == "assistant", "PLANNER_RESPONSE")
@@ -479,14 +562,11 @@ def s24(spark, sf):
         F.array(F.struct(F.lit("view_file").alias("name"), F.struct(
             F.lit("/home/dev/code/shop/src/ui/a.ts").alias("AbsolutePath")).alias("args")))
         .alias("tool_calls"))
-    lines = c.select(F.concat(F.lit("/g/brain/brain-"), F.col("conv_id") % FILES,
+    return c.select(F.concat(F.lit("/g/brain/brain-"), F.col("conv_id") % FILES,
                               F.lit("/.system_generated/logs/transcript.jsonl")).alias("file"),
                      F.floor(F.col("conv_id") / 20).alias("block"),
                      (F.col("conv_id") * 1000 + F.col("turn")).alias("line"),
-                     F.to_json(rec).alias("value"))
-    return N.planner(lines, TOPOLOGY, chunk="block").select(
-        "seq", "turn", "session", "model", "effort", "input", "output", "tools", "repo",
-        "workspace")
+                    F.to_json(rec).alias("value"))
 
 
 def _store_turns(spark, sf):
@@ -548,10 +628,10 @@ def s29(spark, sf):
 
 @query("s30_dedupe", with_turns("SELECT seq, session, ts_raw, surfaces FROM turns"))
 def s30(spark, sf):
-    """Later copies carry other surfaces; the first copy must win."""
-    t = _doubled(spark, sf)
-    late = turns(spark, sf).withColumn("seq", F.col("seq") + 10**9) \
-        .withColumn("surfaces", F.array(F.lit("late")))
+    """Later copies have lower line numbers and other surfaces; the first copy must win."""
+    t = _doubled(spark, sf).withColumn("ingest", F.lit(1))
+    late = turns(spark, sf).withColumns({"seq": F.col("seq") - 10**9, "ingest": F.lit(2),
+                                         "surfaces": F.array(F.lit("late"))})
     return S.first_copies(t.unionByName(late)).select("seq", "session", "ts_raw", "surfaces")
 
 
@@ -593,7 +673,7 @@ def s33(spark, sf):
     source = [S.Source("turns", lambda s: _store_turns(s, sf))]
     cols = ("provider", "run", "read", "written", "skipped", "first_month", "last_month")
     one = S.sync(spark, source, path).withColumn("run", F.lit("first")).select(*cols)
-    two = S.sync(spark, source, path, full=True).withColumn("run", F.lit("again")).select(*cols)
+    two = S.sync(spark, source, path).withColumn("run", F.lit("again")).select(*cols)
     return one.unionByName(two)
 
 

@@ -20,9 +20,9 @@ def landed(spark, sf, *parts):
     return path, t.schema
 
 
-def stream(spark, sf, *parts):
+def stream(spark, sf, *parts, files_per_batch=None):
     path, schema = landed(spark, sf, *parts)
-    return J.watch_tables(spark, path, schema)
+    return J.watch_tables(spark, path, schema, files_per_batch)
 
 
 @query("s26_incremental_read", with_turns("""
@@ -61,24 +61,42 @@ def x01(spark, sf):
 
 @query("x02_stream_dedupe", with_turns("SELECT seq, session, output FROM turns"))
 def x02(spark, sf):
-    """Half of the drops arrive twice."""
+    """Half of the drops arrive twice, newest first and one file at a time; a second run adds nothing."""
     out, mark = scratch_path(spark, "once"), scratch_path(spark, "mark")
-    J.append_to(J.once_only(stream(spark, sf, "true", "seq % 2 = 0")), out, mark)
+    path, schema = landed(spark, sf, "ts >= '2024-01-16'", "true", "seq % 2 = 0")
+    for _ in range(2):
+        J.once_only(J.watch_tables(spark, path, schema, 1), out, mark)
+        turns(spark, sf).filter("seq % 3 = 0").write.mode("append").parquet(path)
     return spark.read.parquet(out).select("seq", "session", "output")
 
 
 @query("x03_two_day_rebuild", with_turns("""
-SELECT CAST(ts AS DATE) AS date, count(*) AS turns, CAST(sum(output) AS BIGINT) AS output FROM turns
-WHERE NOT (CAST(ts AS DATE) < DATE '2024-01-18' AND seq % 5 = 0) GROUP BY 1"""))
+SELECT CASE WHEN seq % 11 = 0 THEN 'unknown' ELSE strftime(ts, '%Y-%m-%d') END AS date, count(*) AS turns,
+  CAST(sum(output) AS BIGINT) AS output FROM turns GROUP BY 1"""))
 def x03(spark, sf):
-    """Late rows change the last two days; older ones come too late to count."""
+    """Late rows and rows without a stamp land and count, one file at a time or all at once."""
+    raw, roll, mark = (scratch_path(spark, n) for n in ("raw", "days", "mark"))
+    path = scratch_path(spark, "landing")
+    t = turns(spark, sf).withColumn("ts", F.when(F.col("seq") % 11 != 0, F.col("ts")))
+    measures = [F.count("*").alias("turns"), F.sum("output").alias("output")]
+    t.filter("ts >= '2024-01-21' and seq % 5 <> 0").write.parquet(path)
+    J.rebuild_days(J.watch_tables(spark, path, t.schema, 1), raw, roll, mark, measures)
+    t.filter("not coalesce(ts >= '2024-01-21' and seq % 5 <> 0, false)").write.mode("append").parquet(path)
+    J.rebuild_days(J.watch_tables(spark, path, t.schema, 1), raw, roll, mark, measures)
+    return spark.read.schema("turns long, output long, date string").parquet(roll)
+
+
+@query("x03_reach", with_turns("""
+SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS date FROM turns WHERE ts < TIMESTAMP '2024-01-18' AND seq % 5 = 0"""))
+def x03_reach(spark, sf):
+    """With a reach of two days older days wait, and are listed; their rows have landed."""
     raw, roll, mark = (scratch_path(spark, n) for n in ("raw", "days", "mark"))
     path, schema = landed(spark, sf, "ts < '2024-01-21' and seq % 5 <> 0")
     measures = [F.count("*").alias("turns"), F.sum("output").alias("output")]
-    J.rebuild_days(J.watch_tables(spark, path, schema), raw, roll, mark, measures)
-    turns(spark, sf).filter("ts >= '2024-01-21' or seq % 5 = 0").write.mode("append").parquet(path)
-    J.rebuild_days(J.watch_tables(spark, path, schema), raw, roll, mark, measures)
-    return spark.read.parquet(roll).select("date", "turns", "output")
+    J.rebuild_days(J.watch_tables(spark, path, schema), raw, roll, mark, measures, reach_days=40)
+    turns(spark, sf).filter("ts < '2024-01-21' and seq % 5 = 0").write.mode("append").parquet(path)
+    J.rebuild_days(J.watch_tables(spark, path, schema), raw, roll, mark, measures, reach_days=2)
+    return spark.createDataFrame([(d,) for d in J.stale_days(spark, raw, roll)], "date string")
 
 
 @query("x04_hourly_rollup", with_turns("""
@@ -107,13 +125,13 @@ def x05(spark, sf):
 SELECT session, count(*) AS turns, CAST(sum(output) AS BIGINT) AS output, min(ts) AS start, max(ts) AS "end",
   max(input + cache_read + cache_create) AS peak_context FROM turns GROUP BY 1"""))
 def x06(spark, sf):
-    """Two runs update the same sessions; the newest row of each is the state."""
+    """Two runs of several batches update the same sessions."""
     path, schema = landed(spark, sf, "seq % 2 = 0")
     out, mark = scratch_path(spark, "sessions"), scratch_path(spark, "mark")
-    J.keep_latest(J.session_rollup(J.watch_tables(spark, path, schema)), out, mark)
+    J.session_totals(J.watch_tables(spark, path, schema, 1), out, mark)
     turns(spark, sf).filter("seq % 2 = 1").write.mode("append").parquet(path)
-    J.keep_latest(J.session_rollup(J.watch_tables(spark, path, schema)), out, mark)
-    return J.latest(spark, out, "session")
+    J.session_totals(J.watch_tables(spark, path, schema, 1), out, mark)
+    return J.latest(spark, out)
 
 
 @query("x06_session_window", with_turns("""

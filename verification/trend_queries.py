@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterline.config import FALLBACK, MULTIPLIERS, REFERENCE_MIX, RateCard
+from meterline.cluster import write_and_read
 from meterline.operators import pricing as P
 from meterline.operators import trends as T
 from verification.registry import query
@@ -24,8 +25,8 @@ def part_card(spark, sf) -> P.RateTables:
     key = F.col("p_partkey")
     model = F.concat(F.lit("m"), key)
     items = table(spark, sf, "lineitem").withColumn("y", F.year("l_shipdate"))
-    years = items.groupBy(F.col("l_partkey").alias("k"), "y").agg(
-        F.max("l_discount").alias("disc"))
+    years = write_and_read(items.groupBy(F.col("l_partkey").alias("k"), "y").agg(
+        F.max("l_discount").alias("disc")), "years")
     order = W.partitionBy("k").orderBy("y")
     stamp = lambda y: F.concat(y.cast("string"), F.lit("-07-01T00:00+08:00"))
     none = F.lit(None)
@@ -50,7 +51,7 @@ def part_card(spark, sf) -> P.RateTables:
         F.when(key % 3 == 0, F.concat(F.lit("200"), (key % 4), F.lit("-01-15T00:00+08:00")))
         .alias("recheck_after"))
     aliases = spark.createDataFrame([], "alias string, target string")
-    return P.RateTables(base, history, aliases, None, {}, dict(MULTIPLIERS), dict(FALLBACK))
+    return P.RateTables(base, history, aliases, None, {}, dict(MULTIPLIERS), dict(FALLBACK)).stored()
 
 
 def part_lines(spark, sf):
