@@ -40,6 +40,7 @@ MAX_ROWS, MAX_TERMS, MAX_STRONG, LEXICONS = 20_000, 2_000, 800, 16
 BEGINNINGS = (3, 4, 5, 6)
 TIMES = (2, 4, 8)
 FOLDS, HELD_OUT = 5, 0
+CANDIDATES = 60_000
 REMEMBERED, COUNTED = 150_000, 400_000  # words and terms that a task holds at once
 # Common insults of four languages, lower case.
 LEXICON = ("idiot idiots stupid moron morons loser losers scum trash clown pathetic worthless disgusting "
@@ -168,37 +169,43 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
             .select("text", "toxic").limit(max_rows))
 
 
-def _term_counts(rows: DataFrame) -> DataFrame:
-    """(term, toxic, clean): in how many rows of either label a term occurs."""
+def _term_counts(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
+    """(term, n): in how many rows a term occurs; of the terms in ``only`` if it is given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, found = (Counter(), Counter()), remembered()
+        found, counts = remembered(only and {t.split("#")[0] for t in only}), Counter()
 
         def told() -> pa.RecordBatch:
-            terms = sorted(counts[0].keys() | counts[1].keys())
-            columns = [pa.array([counts[y][t] for t in terms], pa.int64()) for y in (1, 0)]
-            for c in counts:
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *columns],
-                                              names=["term", "toxic", "clean"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
+                                               pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            counts.clear()
+            return made
         for batch in batches:
-            for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                counts[toxic > 0].update(features_of(text, found))
-                if len(counts[0]) + len(counts[1]) > COUNTED:
+            for text in texts_of(batch.column(0)):
+                mine = features_of(text, found)
+                counts.update(mine if only is None else [t for t in mine if t in only])
+                if len(counts) > COUNTED:
                     yield told()
         yield told()
-    made = over_batches(rows, run, "term string, toxic bigint, clean bigint")
-    return made.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return over_batches(rows.select("text"), run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
 
+def telling_terms(rows: DataFrame, toxic: int, clean: int, max_terms: int) -> list[tuple[str, float, int, int]]:
+    """(term, z, toxic rows, clean rows) of the terms that mark toxic rows most.
 
-def _telling(counts: DataFrame, toxic: int, clean: int, max_terms: int) -> list:
-    """The terms whose share among toxic rows differs most from that among clean ones."""
+    Terms are sought in the toxic rows, then counted in the clean ones.
+    """
     if not toxic or not clean:
         return []
-    share = (F.col("toxic") + F.col("clean")) / F.lit(float(toxic + clean))
-    z = ((F.col("toxic") / F.lit(float(toxic)) - F.col("clean") / F.lit(float(clean)))
-         / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12))
-    return (counts.filter("toxic + clean >= 2").withColumn("z", z)
-            .orderBy(F.abs("z").desc(), "term").limit(max_terms).collect())
+    inside = {r["term"]: r["n"] for r in _term_counts(rows.filter("toxic > 0")).filter("n >= 2")
+              .orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+    outside = {r["term"]: r["n"] for r in _term_counts(rows.filter("toxic <= 0"), set(inside)).collect()}
+    out = []
+    for term, n in inside.items():
+        other = outside.get(term, 0)
+        share = (n + other) / (toxic + clean)
+        z = (n / toxic - other / clean) / (share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12) ** 0.5
+        out.append((term, z, n, other))
+    return sorted(out, key=lambda x: (-x[1], x[0]))[:max_terms]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
@@ -208,10 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     n = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic"))
          .agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
-    found = _telling(_term_counts(rows), toxic, clean, max_terms)
-    strong = [r["term"] for r in found if r["z"] > 3 and r["toxic"] >= 3
-              and r["toxic"] * clean > 10 * r["clean"] * toxic][:MAX_STRONG]
-    terms = list(dict.fromkeys([*LEXICON, *(r["term"] for r in found)]))
+    found = telling_terms(rows, toxic, clean, max_terms)
+    strong = [t for t, z, a, b in found if z > 3 and a >= 3 and a * clean > 10 * b * toxic][:MAX_STRONG]
+    terms = list(dict.fromkeys([*LEXICON, *(t[0] for t in found)]))
     number = {t: i for i, t in enumerate(terms)}
     lists = [list(LEXICON), *(strong[k::LEXICONS] for k in range(LEXICONS) if strong[k::LEXICONS])]
 
