@@ -60,8 +60,8 @@ m AS (SELECT w.doc_id, n_words, length(array_to_string(ws, '')) AS word_chars,
   LEFT JOIN c7 USING (doc_id) LEFT JOIN c10 USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 10 * dup_line_chars <= 3 * line_chars
-  AND 10 * n_symbols <= n_words AND 100 * dup5_chars <= 15 * word_chars
-  AND 100 * dup7_chars <= 13 * word_chars AND 10 * dup10_chars <= word_chars AS kept
+  AND 10 * n_symbols <= n_words AND 100 * dup5_chars <= 30 * word_chars
+  AND 100 * dup7_chars <= 28 * word_chars AND 100 * dup10_chars <= 25 * word_chars AS kept
 FROM m
 """
 

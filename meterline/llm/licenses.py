@@ -71,7 +71,7 @@ def _literal(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFr
 
 def _lowered(text: Column) -> Column:
     # Of all other signs only the Kelvin sign has a lower-case form within ASCII.
-    return F.when(text.contains("K"), ascii_lower(text)).otherwise(F.lower(text))
+    return F.when(text.contains("\u212A"), ascii_lower(text)).otherwise(F.lower(text))
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
