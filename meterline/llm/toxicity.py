@@ -63,29 +63,54 @@ def terms_of(word: bytes) -> list[str]:
     return [text, *("^" + text[:n] for n in BEGINNINGS if len(text) >= n)]
 
 
-def remembered(used: set[str] | None = None) -> Callable[[bytes], tuple[str, ...]]:
-    """``terms_of`` for words met before; only the terms in ``used`` if it is given."""
-    seen: dict[bytes, tuple[str, ...]] = {}
+def remembered() -> Callable[[bytes], list[str]]:
+    """``terms_of``, quicker for words met before."""
+    seen: dict[bytes, list[str]] = {}
 
-    def terms(word: bytes) -> tuple[str, ...]:
+    def terms(word: bytes) -> list[str]:
         mine = seen.get(word)
         if mine is None:
             if len(seen) >= REMEMBERED:
                 seen.clear()
-            mine = seen[word] = tuple(t for t in terms_of(word) if used is None or t in used)
+            mine = seen[word] = terms_of(word)
         return mine
     return terms
 
 
 def features_of(text: bytes, terms: Callable[[bytes], Iterable[str]]) -> list[str]:
     """The terms in a text; one that stands 2, 4 or 8 times is a feature for that as well."""
-    tally: Counter = Counter()
-    for w, n in Counter(words(text)).items():
-        for t in terms(w):
-            tally[t] += n
+    tally = Counter(t for w in words(text) for t in terms(w))
     return [*tally, *(f"{t}#{k}" for t, n in tally.items() if n >= TIMES[0] for k in TIMES if n >= k)]
 
 
+class Features:
+    """Features by number: the place of a term among ``bases`` and a level, how often it stands."""
+
+    def __init__(self, features: Iterable[str]):
+        self.bases = sorted({f.split("#")[0] for f in features})
+        self.place = {t: i for i, t in enumerate(self.bases)}
+        self.seen: dict[bytes, tuple[int, ...]] = {}
+
+    def name(self, place: int, level: int) -> str:
+        return self.bases[place] + (f"#{TIMES[level - 1]}" if level else "")
+
+    def grid(self, value: dict[str, float], missing: float) -> np.ndarray:
+        """``value`` of every feature, by place and level."""
+        return np.array([[value.get(self.name(i, k), missing) for k in range(len(TIMES) + 1)]
+                         for i in range(len(self.bases))]).reshape(-1, len(TIMES) + 1)
+
+    def tally(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms in a text and the highest level of each."""
+        found, seen, place = words(text), self.seen, self.place
+        if len(seen) >= REMEMBERED:
+            seen.clear()
+        for w in set(found):
+            if w not in seen:
+                seen[w] = tuple(place[t] for t in terms_of(w) if t in place)
+        at, n = np.unique(np.array([i for w in found for i in seen[w]], np.int64), return_counts=True)
+        return at, np.searchsorted(TIMES, n, "right")
+
+
 @dataclass
 class Toxicity:
     """Weights of terms; the voters' estimated firing rates are kept for inspection."""
@@ -99,12 +124,12 @@ class Toxicity:
 
     def scorer(self):
         """A function from text to score; it remembers the terms of words it has seen."""
-        weights, bias = self.weights, self.bias
-        terms = remembered({t.split("#")[0] for t in weights})
+        features, bias = Features(self.weights), self.bias
+        upto = features.grid(self.weights, 0.0).cumsum(axis=1)  # a higher level has the lower ones
 
         def score(text: bytes) -> float:
-            total = sum(weights.get(t, 0.0) for t in sorted(features_of(text, terms)))
-            return float(1 / (1 + np.exp(-np.clip(bias + total, -30, 30))))
+            at, level = features.tally(text)
+            return float(1 / (1 + np.exp(-np.clip(bias + upto[at, level].sum(), -30, 30))))
         return score
 
 
@@ -169,10 +194,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
             .select("text", "toxic").limit(max_rows))
 
 
-def _term_counts(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
-    """(term, n): in how many rows a term occurs; of the terms in ``only`` if it is given."""
+def _terms_in(rows: DataFrame) -> DataFrame:
+    """(term, n): in how many rows a term occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, counts = remembered(only and {t.split("#")[0] for t in only}), Counter()
+        found, counts = remembered(), Counter()
 
         def told() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
@@ -181,14 +206,31 @@ def _term_counts(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
             return made
         for batch in batches:
             for text in texts_of(batch.column(0)):
-                mine = features_of(text, found)
-                counts.update(mine if only is None else [t for t in mine if t in only])
+                counts.update(features_of(text, found))
                 if len(counts) > COUNTED:
                     yield told()
         yield told()
     return over_batches(rows.select("text"), run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _counts_of(rows: DataFrame, terms: Iterable[str]) -> dict[str, int]:
+    """In how many rows each of the terms occurs."""
+    features = Features(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(features.bases), len(TIMES) + 1), np.int64)
+        for batch in batches:
+            for text in texts_of(batch.column(0)):
+                at, level = features.tally(text)
+                counts[at, level] += 1
+        counts = counts[:, ::-1].cumsum(axis=1)[:, ::-1]  # a higher level has the lower ones
+        at, level = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([features.name(i, k) for i, k in zip(at, level)], pa.string()),
+                                          pa.array(counts[at, level])], names=["term", "n"])
+    made = over_batches(rows.select("text"), run, "term string, n bigint")
+    return {r["term"]: r["n"] for r in made.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+
+
 def telling_terms(rows: DataFrame, toxic: int, clean: int, max_terms: int) -> list[tuple[str, float, int, int]]:
     """(term, z, toxic rows, clean rows) of the terms that mark toxic rows most.
 
@@ -196,9 +238,9 @@ def telling_terms(rows: DataFrame, toxic: int, clean: int, max_terms: int) -> li
     """
     if not toxic or not clean:
         return []
-    inside = {r["term"]: r["n"] for r in _term_counts(rows.filter("toxic > 0")).filter("n >= 2")
+    inside = {r["term"]: r["n"] for r in _terms_in(rows.filter("toxic > 0")).filter("n >= 2")
               .orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    outside = {r["term"]: r["n"] for r in _term_counts(rows.filter("toxic <= 0"), set(inside)).collect()}
+    outside = _counts_of(rows.filter("toxic <= 0"), inside)
     out = []
     for term, n in inside.items():
         other = outside.get(term, 0)
@@ -219,14 +261,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     strong = [t for t, z, a, b in found if z > 3 and a >= 3 and a * clean > 10 * b * toxic][:MAX_STRONG]
     terms = list(dict.fromkeys([*LEXICON, *(t[0] for t in found)]))
     number = {t: i for i, t in enumerate(terms)}
+    features = Features(terms)
+    numbers = features.grid(number, -1).astype(np.int32)
     lists = [list(LEXICON), *(strong[k::LEXICONS] for k in range(LEXICONS) if strong[k::LEXICONS])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = remembered({t.split("#")[0] for t in number})
         for batch in batches:
             sets, fired = [], []
             for text in texts_of(batch.column(0)):
-                sets.append(sorted({number[t] for t in features_of(text, known) if t in number}))
+                at, level = features.tally(text)
+                mine = np.concatenate([numbers[at[level >= k], k] for k in range(len(TIMES) + 1)])
+                sets.append(np.sort(mine[mine >= 0]))
                 fired.append([i for i, p in enumerate(PATTERNS) if p.search(text)])
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())),
                                               pa.array(fired, pa.list_(pa.int32()))], names=["terms", "fired"])
