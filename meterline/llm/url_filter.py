@@ -3,7 +3,8 @@
 A rule such as ``example.org/es/`` fits its host and every subdomain where the url's path
 starts with the rule's; the longest fitting rule decides. Urls without a rule are judged by
 boosted trees over length, depth, digit share, entropy, parameter counts and statistics of
-the host's suffix, trained on labelled urls.
+the host's suffix, trained on labelled urls. The rows to learn from are few and bounded, so
+the trees are grown on the driver in numpy; urls are featured and scored where they are.
 
 Suffix statistics are combined per suffix over all urls and joined back through a lookup
 that is broadcast only when its size is proven and salted otherwise, so a host suffix with a
@@ -20,16 +21,20 @@ An empty table gives an empty table. Only page_id and url are read.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterline.cluster import lookup_join, write_and_read
-from meterline.llm.texts import ascii_lower, bucket
+from meterline.llm.texts import ascii_lower, bucket, over_batches
 
-MAX_ROWS, TREES, DEPTH = 20_000, 12, 4
+MAX_ROWS, TREES, DEPTH, BINS, RATE, RIDGE = 20_000, 30, 4, 32, 0.3, 1.0
+BATCH = 10_000
 FEATURES = ("url_chars host_chars path_chars depth dots hyphens digits entropy params secure www "
             "fragment page_ext first_segment_chars last_segment_digits "
             "suffix_pages suffix_blocked domain_pages domain_blocked segment_pages segment_blocked").split()
@@ -108,11 +113,76 @@ def with_statistics(urls: DataFrame, statistics: dict[str, DataFrame]) -> DataFr
     return urls.na.fill({f"{n}_pages": 0.0 for n in SUFFIXES} | {f"{n}_blocked": 0.5 for n in SUFFIXES})
 
 
-def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> GBTClassificationModel:
-    """Boosted trees on rows with ``FEATURES`` and ``blocked``."""
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(labelled)
-    return GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=trees, maxDepth=depth,
-                         seed=7, stepSize=0.3).fit(rows.select("features", "blocked"))
+@dataclass
+class Trees:
+    """Boosted trees of one depth over binned features.
+
+    A tree has its inner nodes in heap order: at node k a row goes to 2k + 1 if its bin of
+    ``feature[k]`` is at most ``cut[k]``, else to 2k + 2; the nodes of the last level are
+    the leaves.
+    """
+
+    edges: list[np.ndarray]
+    start: float
+    feature: np.ndarray
+    cut: np.ndarray
+    leaf: np.ndarray
+
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(self.edges)], 1)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Probability that a row is blocked."""
+        bins, rows, total = self.bins(x), np.arange(len(x)), np.full(len(x), self.start)
+        depth = int(np.log2(self.leaf.shape[1]))
+        for feature, cut, leaf in zip(self.feature, self.cut, self.leaf):
+            node = np.zeros(len(x), np.int64)
+            for _ in range(depth):
+                node = 2 * node + 1 + (bins[rows, feature[node]] > cut[node])
+            total += leaf[node - len(cut)]
+        return 1 / (1 + np.exp(-total))
+
+
+def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> Trees:
+    """Fit boosted trees to rows of features and 0/1 labels: Newton steps on the log loss."""
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
+    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    inner, n_features, n_bins = 2 ** depth - 1, x.shape[1], BINS + 1
+    model = Trees(edges, float(np.log(share / (1 - share))), np.zeros((trees, inner), np.int64),
+                  np.zeros((trees, inner), np.int64), np.zeros((trees, inner + 1)))
+    bins, rows = model.bins(x), np.arange(len(x))
+    columns, total = bins + np.arange(n_features) * n_bins, np.full(len(x), model.start)
+    for t in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        slope, bend, node = y - p, p * (1 - p), np.zeros(len(x), np.int64)
+        for level in range(depth):
+            width, first = 2 ** level, 2 ** level - 1
+            at = ((node - first)[:, None] * (n_features * n_bins) + columns).ravel()
+            size = width * n_features * n_bins
+            g, h = (np.bincount(at, np.repeat(v, n_features), size).reshape(width, n_features, n_bins).cumsum(axis=2)
+                    for v in (slope, bend))
+            all_g, all_h = g[:, :, -1:], h[:, :, -1:]
+            gain = g ** 2 / (h + RIDGE) + (all_g - g) ** 2 / (all_h - h + RIDGE)
+            best = gain.reshape(width, -1).argmax(axis=1)
+            model.feature[t, first:first + width], model.cut[t, first:first + width] = np.divmod(best, n_bins)
+            node = 2 * node + 1 + (bins[rows, model.feature[t, node]] > model.cut[t, node])
+        leaf = node - inner
+        model.leaf[t] = RATE * np.bincount(leaf, slope, inner + 1) / (np.bincount(leaf, bend, inner + 1) + RIDGE)
+        total += model.leaf[t, leaf]
+    return model
+
+
+def scored(urls: DataFrame, model: Trees) -> DataFrame:
+    """(page_id, host, path, fit, score) of urls with ``FEATURES``."""
+    plain = ["page_id", "host", "path", "fit"]
+    rows = urls.select(*plain, *[F.col(f).cast("double").alias(f) for f in FEATURES])
+    schema = T.StructType([*(rows.schema[c] for c in plain), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(plain):]], 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(plain)], pa.array(model.score(x))], names=schema.names)
+    return over_batches(rows, run, schema, BATCH)
 
 
 def ruled(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -138,11 +208,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame,
     if {r["blocked"] for r in learn.select("blocked").distinct().collect()} >= {0.0, 1.0}:
         urls = lexical(urls)
         statistics = suffix_statistics(urls, known.filter(for_statistics))
-        model = train(write_and_read(with_statistics(learn, statistics), "learn"), **options)
-        assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-            with_statistics(urls, statistics))
-        urls = model.transform(assembled)
-        score = vector_to_array("probability")[1]
+        table = with_statistics(learn, statistics).select(
+            *[F.col(f).cast("double").alias(f) for f in FEATURES], "blocked").toArrow()
+        x = np.stack([table[f].to_numpy() for f in FEATURES], 1)
+        urls = scored(with_statistics(urls, statistics), train(x, table["blocked"].to_numpy(), **options))
+        score = F.col("score")
     judged = F.when(F.coalesce(score, F.lit(0.0)) >= 0.5, "block").otherwise("allow")
     return urls.select("page_id", "host", "path", rule, F.coalesce(verdict, judged).alias("verdict"),
                        F.when(F.col("fit").isNull(), score).alias("score"))
