@@ -128,7 +128,7 @@ def premium_model_on_light_work(d: Digest, t: Thresholds) -> DataFrame:
     s = prem.agg(F.sum("turns").alias("turns"), F.sum("output").alias("output"))
     mean = F.col("output") / F.col("turns")
     delta = (_output_rate(d, t.premium_model) - _output_rate(d, t.cheaper_model)) / 1_000_000
-    names = prem.orderBy(F.desc("output"), "model").limit(20)
+    names = prem.orderBy(F.desc("output"), "model").limit(t.premium_examples)
     return _finding(
         s.filter((F.col("turns") >= t.premium_min_turns) & (mean < t.light_turn_output)),
         "premium-tier-light-turns", "medium",

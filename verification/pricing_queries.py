@@ -68,11 +68,11 @@ def p04(spark, sf):
 
 
 @query("p05_rate_in_force", with_plain("""
-SELECT model, date, rate_in, rate_out, count(*) AS turns, min(ts) AS first_ts, max(ts) AS last_ts
-FROM priced WHERE speed = 'standard' GROUP BY ALL"""))
+SELECT model, speed, date, rate_in, rate_out, count(*) AS turns, min(ts) AS first_ts, max(ts) AS last_ts
+FROM priced GROUP BY ALL"""))
 def p05(spark, sf):
-    return (priced(spark, sf).filter("speed = 'standard'")
-            .groupBy("model", F.date_format("ts", "yyyy-MM-dd").alias("date"), "rate_in",
+    return (priced(spark, sf)
+            .groupBy("model", "speed", F.date_format("ts", "yyyy-MM-dd").alias("date"), "rate_in",
                      "rate_out")
             .agg(F.count("*").alias("turns"), F.min("ts").alias("first_ts"),
                  F.max("ts").alias("last_ts")))
@@ -80,9 +80,9 @@ def p05(spark, sf):
 
 @query("p06_partial_override", with_plain("""
 SELECT model, rate_in, rate_out, rate_cache_mult, ts < TIMESTAMP '2024-01-09 16:00:00' AS superseded,
-  count(*) AS turns FROM priced WHERE model IN ('code-c', 'mid-b') GROUP BY ALL"""))
+  count(*) AS turns FROM priced GROUP BY ALL"""))
 def p06(spark, sf):
-    return (priced(spark, sf).filter("model in ('code-c', 'mid-b')")
+    return (priced(spark, sf)
             .groupBy("model", "rate_in", "rate_out", "rate_cache_mult",
                      (F.col("ts") < F.lit("2024-01-09 16:00:00").cast("timestamp"))
                      .alias("superseded"))

@@ -173,12 +173,15 @@ WITH p AS (SELECT * FROM events WHERE event_id % 5 <> 0)
 SELECT DISTINCT v.slot, v.value FROM p, (VALUES ('input', 'usage.prompt'), ('output', 'usage.completion'),
   ('cache_read', 'usage.details.cached')) v(slot, value)
 UNION ALL SELECT DISTINCT 'model', 'model' FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT DISTINCT v.slot, v.value FROM events, (VALUES ('tools:list', 'calls'), ('tools:name', 'function.name'),
+  ('tools:args', 'function.args')) v(slot, value) WHERE event_id % 2 = 0
 UNION ALL SELECT 'where:role', any_value(role) FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role
   FROM p) HAVING count(DISTINCT role) = 1""")
 def h08_spec(spark, sf):
     """No marker separates the priced records here: both roles carry usage."""
     spec = H.draft_spec(records(chat_lines(spark, sf)), F.col("line"))
     rows = [*spec["fields"].items(), *[(f"where:{k}", v) for k, v in spec["where"].items()]]
+    rows += [(f"tools:{k}", v) for k, v in spec.get("tools", {}).items() if k != "path_args"]
     if "ts_unit" in spec:
         rows.append(("ts_unit", spec["ts_unit"]))
     return spark.createDataFrame(rows, "slot string, value string")
