@@ -2,6 +2,7 @@ import hashlib
 import hmac
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from meterline.operators import cohorts as K
@@ -30,7 +31,9 @@ def test_redaction_keeps_no_secret(spark):
     assert not [s for s in SECRETS if s in text] and "11:11" not in text
     doc = json.loads(out[2]["json"])
     assert doc["type"] == "assistant" and doc["tokens"]["input"] == 3
-    assert doc["conversationId"] == H.FAKE_ID and len(doc["calls"]) == 8
+    assert doc["conversationId"] == H.FAKE_ID and len(doc["calls"]) == 12
+    short = H.redact(planted(spark), F.col("line"), F.col("line"), items=8).orderBy("rid").collect()
+    assert len(json.loads(short[2]["json"])["calls"]) == 8
     assert doc["calls"][0] == {"name": "Read", "path": H.FAKE_PATH}
     assert doc["created_at"] == "2026-08-19T01:04:11.000Z"
     assert doc["ts"] == (H.BASE_EPOCH + 120) * 1000
@@ -44,7 +47,9 @@ def test_draft_spec(spark):
 
 
 def test_payload_is_small_clean_and_in_range(spark):
-    p = H.payload(digest(spark, SF).priced, rates(spark).base, repos=True, cohorts=["x" * 99])
+    p = H.payload(digest(spark, SF).priced, rates(spark).base, repos=True, cohorts=["x" * 24])
+    with pytest.raises(ValueError):
+        H.payload(digest(spark, SF).priced, rates(spark).base, cohorts=["x" * 25])
     assert H.audit(p).count() == 0
     rows = p.collect()
     assert rows and all(0 <= v < len(H.BUCKETS[m]) for r in rows for m, v in r["metrics"].items())

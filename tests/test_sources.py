@@ -39,7 +39,7 @@ def test_spec_over_files(spark, tmp_path):
     rows = source.load(spark).orderBy("turn").collect()
     assert [r["turn"] for r in rows] == [1, 2]
     assert rows[0]["input"] == 41 and rows[0]["cache_read"] == 60
-    assert rows[0]["session"] == "a1b2c3d4" and rows[0]["model"] == "m"
+    assert rows[0]["session"] == "a1b2c3d4e5" and rows[0]["model"] == "m"
     assert rows[0]["repo"] == "my-app" and rows[0]["surfaces"] == ["(root)", "src/api"]
     assert rows[0]["tools"] == ["read", "list"] and not rows[0]["sidechain"]
     assert L.quarantine(L.read_lines(spark, f"{tmp_path}/chats/*.jsonl")).count() == 1
@@ -90,7 +90,7 @@ def test_running_totals_reset_and_repeat(spark):
     assert [(r["turn"], r["input"], r["output"], len(r["tools"])) for r in rows] == \
         [(1, 10, 5, 1), (2, 0, 4, 2)]
     assert rows[0]["agent"] == "rev" and rows[0]["sidechain"] and rows[0]["workspace"] == "proj"
-    assert rows[0]["session"] == "thread-0" and rows[0]["model"] == "m"
+    assert rows[0]["session"] == "thread-000001" and rows[0]["model"] == "m"
 
 
 def turns_frame(spark, rows):
