@@ -52,18 +52,15 @@ def located(pages: DataFrame, *keep: str) -> DataFrame:
 
 
 def fitting_rule(rules: list[tuple[str, str]]) -> Column:
-    """struct(size, rule, verdict) of the longest rule that fits (host, path); else null."""
+    """struct(size, order, rule, verdict) of the longest rule that fits (host, path); else null."""
     fits = []
-    for verdict, rule in sorted(rules, key=lambda x: x[1], reverse=True):
+    for i, (verdict, rule) in enumerate(sorted(rules, key=lambda x: x[1])):
         host, slash, path = rule.partition("/")
         on = (F.col("host") == host) | F.col("host").endswith("." + host)
         fits.append(F.when(on & F.startswith(F.col("path"), F.lit(slash + path)), F.struct(
-            F.lit(len(rule)).alias("size"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
-    longest = F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
-    for fit in fits:
-        better = fit.isNotNull() & (longest.isNull() | (fit["size"] >= longest["size"]))
-        longest = F.when(better, fit).otherwise(longest)
-    return longest
+            F.lit(len(rule)).alias("size"), F.lit(-i).alias("order"), F.lit(rule).alias("rule"),
+            F.lit(verdict).alias("verdict"))))
+    return F.array_max(F.array_compact(F.array(*fits)))
 
 
 def _share(of: Column, pattern: str) -> Column:
