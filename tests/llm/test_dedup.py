@@ -112,3 +112,20 @@ def test_odd_rows(spark):
     ids = sorted((r["doc_id"] or 0) for r in kept.collect())
     assert ids == [0, 0, 1, 2, 3, 4, 5, 6, 8, 8, 9]
     assert near_dedup.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_near_copies_with_often_repeated_lines_match_all_pairs(spark):
+    rng, texts = random.Random(17), []
+    for i in range(60):
+        footer = "\n" + sentence(rng, VOCAB, 8)
+        body = sentence(rng, VOCAB, 52)
+        # one of two texts is a little longer and repeats its footer often; or both have the same shingles
+        texts += [body + footer * 2, body + " " + sentence(rng, VOCAB, 4 * (i % 3 > 0)) + footer * (20, 200, 2000)[i % 3]]
+        block = "\n" + sentence(rng, VOCAB, 90)
+        long = sentence(rng, VOCAB, 400)
+        texts += [long + block, long + " " + sentence(rng, VOCAB, 60) + block * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    want = classes(texts)
+    assert len(set(want)) == 120
+    assert [got[i] for i in range(len(texts))] == want
