@@ -8,9 +8,10 @@ the trees are grown on the driver in numpy; urls are featured and scored where t
 
 Suffix statistics are combined per suffix over all urls and joined back through a lookup
 that is broadcast only when its size is proven and salted otherwise, so a host suffix with a
-third of all urls is no hot task. Blocked shares of a suffix come from one part of the
-labelled rows, the trees from the other, so that no row's label is among its own features.
-The trees see at most ``max_rows`` labelled rows, the lowest in hash order.
+third of all urls is no hot task. Blocked shares of a suffix count every labelled row of one
+part of the urls, the trees learn from the other, so that no row's label is among its own
+features. The trees see at most ``max_rows`` distinct urls, the lowest in hash order, each
+with the mean of its labels.
 
 Defined results. Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: from there to ``?``, ``#`` or the end; both empty for null or no ``://``.
@@ -92,11 +93,14 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(urls: DataFrame, labelled: DataFrame) -> dict[str, DataFrame]:
-    """Per kind of suffix: how many urls share one, and which part of its labelled ones is blocked."""
+    """Per kind of suffix: how many urls share one, and which part of its labelled ones is blocked.
+
+    ``labelled`` has the three suffixes, n labelled rows and how many of them are blocked.
+    """
     out = {}
     for name in SUFFIXES:
         pages = urls.groupBy(name).agg(F.count(F.lit(1)).alias("pages"))
-        known = labelled.groupBy(name).agg(F.sum("blocked").alias("blocked"), F.count(F.lit(1)).alias("n"))
+        known = labelled.groupBy(name).agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n"))
         n = F.coalesce("n", F.lit(0))
         out[name] = write_and_read(pages.join(known, name, "left").select(
             F.col(name).alias("key"), F.log1p("pages").alias(f"{name}_pages"),
@@ -195,16 +199,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame,
     ``labelled`` has (url, blocked as 0 or 1).
     """
     urls = located(pages, "page_id").withColumn("fit", fitting_rule(rules))
-    known = write_and_read(
-        lexical(located(labelled.filter("blocked is not null").orderBy(F.xxhash64("url"), "url", "blocked")
-                        .limit(max_rows), "blocked").withColumn("blocked", F.col("blocked").cast("double"))),
-        "labelled-urls")
-    verdict, rule, score = F.col("fit.verdict"), F.col("fit.rule").alias("rule"), F.lit(None).cast("double")
+    known = labelled.filter("blocked is not null").select("url", F.col("blocked").cast("double").alias("blocked"))
     for_statistics = bucket(F.col("url"), 5) < 2
-    learn = known.filter(~for_statistics)
-    if {r["blocked"] for r in learn.select("blocked").distinct().collect()} >= {0.0, 1.0}:
+    learn = (known.filter(~for_statistics).groupBy("url").agg(F.avg("blocked").alias("blocked"))
+             .orderBy(F.xxhash64("url"), "url").limit(max_rows))
+    learn = write_and_read(lexical(located(learn, "blocked")), "labelled-urls")
+    verdict, rule, score = F.col("fit.verdict"), F.col("fit.rule").alias("rule"), F.lit(None).cast("double")
+    if 0 < (learn.agg(F.avg("blocked").alias("share")).first()["share"] or 0) < 1:
         urls = lexical(urls)
-        statistics = suffix_statistics(urls, known.filter(for_statistics))
+        counts = lexical(located(known.filter(for_statistics), "blocked")).groupBy(*SUFFIXES).agg(
+            F.sum("blocked").alias("blocked"), F.count(F.lit(1)).alias("n"))
+        statistics = suffix_statistics(urls, write_and_read(counts, "labelled-suffixes"))
         table = with_statistics(learn, statistics).select(
             *[F.col(f).cast("double").alias(f) for f in FEATURES], "blocked").toArrow()
         x = np.stack([table[f].to_numpy() for f in FEATURES], 1)

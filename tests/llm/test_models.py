@@ -215,6 +215,21 @@ def test_url_rules_and_trees(spark):
     assert url_filter.judge(pages.limit(0), RULES, labelled.limit(0)).count() == 0
 
 
+def test_url_statistics_count_all_labelled_rows(spark):
+    rng = random.Random(9)
+    urls = [(f"http://h{rng.randint(0, 9)}.dom{d:03}.net/p/{i:03}", d % 2) for d in range(200) for i in range(20)]
+    rng.shuffle(urls)
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id bigint, url string")
+    labelled = spark.createDataFrame(urls[:3_000], "url string, blocked int")
+    # one url is repeated as often as the trees take rows, and is the lowest in hash order
+    low = labelled.orderBy(F.xxhash64("url")).first()
+    often = labelled.union(spark.createDataFrame([tuple(low)] * 300, labelled.schema))
+    for known in (labelled, often):
+        got = url_filter.judge(pages, RULES[:1], known, max_rows=300).collect()
+        right = [(r["verdict"] == "block") == urls[r["page_id"]][1] for r in got if r["page_id"] >= 3_000]
+        assert len(right) == 1_000 and sum(right) / len(right) > 0.95
+
+
 def test_url_entropy(spark):
     urls = url_filter.located(spark.createDataFrame([(1, "http://aab.cc/x")], "page_id bigint, url string"))
     r = url_filter.lexical(urls).first()
