@@ -86,6 +86,31 @@ def test_redaction_rebuilds_nested_records(spark):
         '{"a":{"b":"<redacted>"},"l":[1,2]}'
 
 
+def test_records_of_any_depth(spark):
+    def nested(levels, list_at):
+        rec = {"count": levels, "role": "user", "empty": {}, "none": []}
+        for k in range(levels):
+            rec = {"in": [k, rec] if k % 5 == list_at else rec, "count": k}
+        return rec
+
+    recs = [nested(3, 1), nested(11, 9), nested(12, 9), nested(30, 9), nested(27, 2)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(recs)], "i int, value string")
+    got = {r["rid"]: json.loads(r["json"]) for r in H.redact(df, F.col("i"), F.col("i")).collect()}
+    assert got == dict(enumerate(recs))
+    parsed = df.filter("i = 3").select("i", F.parse_json("value").alias("rec"))
+    table = {r["path"]: r["numbers"] for r in H.profile(parsed, F.col("i")).collect()}
+    assert all(table["in." * k + "count"] == 1 for k in range(31))
+    assert H.profile(parsed.limit(0), F.col("i")).count() == 0
+    line = {"type": "msg", "created_at": "2026-11-11T11:11:11Z"}
+    deep = {"usage": {"input_tokens": 5, "output_tokens": 3}, "model": "m"}
+    for _ in range(14):
+        deep = {"x": deep}
+    parsed = spark.createDataFrame([(1, json.dumps(line | deep))], "i int, value string").select(
+        "i", F.parse_json("value").alias("rec"))
+    fields = H.draft_spec(parsed, F.col("i"))["fields"]
+    assert fields["input"] == "x." * 14 + "usage.input_tokens" and fields["model"] == "x." * 14 + "model"
+
+
 def test_draft_spec_finds_the_clock(spark):
     rows = [json.dumps({"type": "msg" if i % 2 else "note", "created": i, "time": 1.7e12 + i, "model": "m",
                         "usage": {"input_tokens": 5 * (i % 2), "output_tokens": 3 * (i % 2)}}) for i in range(40)]
