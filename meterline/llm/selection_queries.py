@@ -1,11 +1,11 @@
-"""Queries that choose or place rows: hard negatives."""
+"""Queries that choose or place rows: hard negatives, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import hard_negatives
+from meterline.llm import hard_negatives, packing
 from meterline.llm.registry import query
 from meterline.llm.texts import table
 
@@ -34,3 +34,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_best_fit_packing")
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"),
+                         F.crc32("ids").alias("ids_crc32"), "sequence_id", F.col("offset").cast("bigint").alias("offset"))
