@@ -3,10 +3,19 @@
 Every running value (ordinals, deltas, carried settings) goes through
 ``scan.running`` on (file; block, line), so a file that holds a third of all
 lines is cut at its blocks and still gives exact results.
+
+A reader has two halves: ``*_read`` parses lines into a few fields, ``*_turns`` makes turns of
+them and returns, beside the turns, what a later read of the same files must know. That is
+rows of the parsed shape again - one per file with the settings and totals in force and the
+number of turns so far (``base``), one per tool call that waits for its turn - which go before
+the next read's rows (``sources.resume``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +59,16 @@ def _mapped(raw: Column, names: dict, otherwise: Column) -> Column:
     return F.coalesce(F.try_element_at(table, raw), otherwise)
 
 
+def _places(lines: DataFrame) -> list[str]:
+    """Where a line stands and, in a partial read, whether its file is read from the start."""
+    return [*FILE, *PLACE, *(c for c in ("fresh",) if c in lines.columns)]
+
+
+def _base(parsed: DataFrame) -> Column:
+    """Turns before this read, on the row that carries them; null on every row of the log."""
+    return F.col("base") if "base" in parsed.columns else F.lit(None).cast("bigint")
+
+
 def _names(blocks: Column, at: str = "name") -> Column:
     return F.filter(F.transform(blocks, lambda b: L.truthy(L.dig(b, at))), lambda n: n.isNotNull())
 
@@ -63,24 +82,38 @@ def transcript(lines: DataFrame, topology: Topology, provider: str = "claude-cod
     The ordinal counts every assistant record; those without usage are dropped
     afterwards.
     """
+    return transcript_turns(transcript_read(lines), topology, provider, chunk)[0]
+
+
+def transcript_turns(parsed: DataFrame, topology: Topology, provider: str = "claude-code",
+                     chunk: str | None = None) -> tuple[DataFrame, DataFrame]:
+    base = _base(parsed)
+    recs = running(parsed, FILE, PLACE, [Scan("turn", "total", F.coalesce(base, F.lit(1)))], chunk)
+    turns = recs.filter(F.col("counted") & base.isNull()).withColumn("provider", F.lit(provider))
+    return finish(turns, topology), _ordinals(recs)
+
+
+def _ordinals(recs: DataFrame) -> DataFrame:
+    return recs.groupBy(*FILE).agg(F.max("turn").cast("bigint").alias("base"))
+
+
+def transcript_read(lines: DataFrame) -> DataFrame:
     recs = L.records(lines).filter(L.dig("rec", "type") == "assistant")
-    recs = running(recs, FILE, PLACE, [Scan("turn", "total", F.lit(1))], chunk)
     usage = L.dig("rec", "message.usage", "map<string,variant>")
-    recs = recs.filter(F.size(usage) > 0)
     d = lambda p, kind="string": L.dig("rec", p, kind)
     n = lambda p: L.counter("rec", f"message.usage.{p}")
     blocks = F.filter(L.items("rec", "message.content"), lambda b: L.equals(
         b, {"type": "tool_use"}))
     entry = d("entrypoint")
-    framed = recs.select(
-        "file", "line", F.lit(provider).alias("provider"), d("timestamp").alias("ts_raw"),
-        session_id(d("sessionId")).alias("session"),
+    return recs.select(
+        *_places(lines), F.coalesce(F.size(usage) > 0, F.lit(False)).alias("counted"),
+        d("timestamp").alias("ts_raw"), session_id(d("sessionId")).alias("session"),
         F.coalesce(d("cwd"), F.lit("")).alias("_cwd"), L.truthy(d("gitBranch")).alias("branch"),
         _mapped(entry, TRANSCRIPT_ENTRY, entry).alias("entrypoint"),
         drop_snapshot_date(d("message.model")).alias("model"), d("effort").alias("effort"),
         d("message.usage.service_tier").alias("tier"), d("message.usage.speed").alias("speed"),
         F.coalesce(d("isSidechain", "boolean"), F.lit(False)).alias("sidechain"),
-        d("slug").alias("agent"), "turn", d("message.stop_reason").alias("stop"),
+        d("slug").alias("agent"), d("message.stop_reason").alias("stop"),
         n("input_tokens").alias("input"), n("output_tokens").alias("output"),
         n("cache_creation_input_tokens").alias("cache_create"),
         n("cache_read_input_tokens").alias("cache_read"),
@@ -90,7 +123,6 @@ def transcript(lines: DataFrame, topology: Topology, provider: str = "claude-cod
         n("server_tool_use.web_fetch_requests").alias("web_fetch"),
         _names(blocks).alias("tools"),
         L.path_args(blocks, "input", TRANSCRIPT_PATHS).alias("_paths"))
-    return finish(framed, topology)
 
 
 # -- rollouts: running totals ---------------------------------------------------
@@ -112,6 +144,11 @@ def rollout(lines: DataFrame, topology: Topology, provider: str = "codex",
 
     A repeated total is no turn. Tool calls belong to the next emitted turn.
     """
+    # Parsed once into a few fields; turns and calls are both read from there.
+    return rollout_turns(write_and_read(rollout_read(lines), "rollout"), topology, provider, chunk)[0]
+
+
+def rollout_read(lines: DataFrame) -> DataFrame:
     kind, inner = F.col("kind"), F.col("inner")
     # Most lines are messages: they are dropped before any field is looked up.
     recs = L.records(lines).select("*", L.dig("rec", "type").alias("kind"),
@@ -122,8 +159,9 @@ def rollout(lines: DataFrame, topology: Topology, provider: str = "codex",
     is_total = ~setting & F.coalesce(inner == "token_count", F.lit(False))
     recs = recs.filter(setting | is_call | is_total)
     p = lambda path: L.dig("rec", f"payload.{path}")
+    places = _places(lines)
     fields = recs.select(
-        "file", "block", "line", "kind", "inner", L.dig("rec", "timestamp").alias("ts_raw"),
+        *places, "kind", "inner", L.dig("rec", "timestamp").alias("ts_raw"),
         *[F.when(setting, p(c)).alias(c) for c in ("id", "cwd", "source", "model", "effort",
                                                    "reasoning_effort")],
         *[F.when(is_call, p(c)).alias(c) for c in ("name", "arguments")],
@@ -135,7 +173,7 @@ def rollout(lines: DataFrame, topology: Topology, provider: str = "codex",
     paths = F.filter(F.array(*[F.get_json_object("arguments", f"$.{k}") for k in ROLLOUT_PATHS]),
                      lambda x: x.isNotNull() & F.startswith(x, F.lit("/")))
     read = fields.select(
-        "file", "block", "line", "ts_raw",
+        *places, "ts_raw",
         F.when(kind == "session_meta", F.struct("id", "cwd", "source")).alias("meta"),
         F.when(kind == "turn_context", F.struct("model", F.coalesce(
             L.truthy(F.col("effort")), "reasoning_effort").alias("effort"), "cwd")).alias("ctx"),
@@ -147,8 +185,13 @@ def rollout(lines: DataFrame, topology: Topology, provider: str = "codex",
         .alias("call"))
     useful = F.coalesce(F.col("meta").isNotNull() | F.col("ctx").isNotNull()
                         | F.col("totals").isNotNull() | F.col("call").isNotNull(), F.lit(False))
-    # Parsed once into a few fields; turns and calls are both read from there.
-    state = running(write_and_read(read.filter(useful), "rollout"), FILE, PLACE, [
+    return read.filter(useful)
+
+
+def rollout_turns(parsed: DataFrame, topology: Topology, provider: str = "codex",
+                  chunk: str | None = None) -> tuple[DataFrame, DataFrame]:
+    base = _base(parsed)
+    state = running(parsed, FILE, PLACE, [
         Scan("m", "last", F.col("meta")), Scan("c", "last", F.col("ctx")),
         Scan("prev", "last_before", F.col("totals"))], chunk)
     used = {c: F.greatest(F.lit(0), F.col(f"totals.{c}") - F.coalesce(f"prev.{c}", F.lit(0)))
@@ -156,9 +199,16 @@ def rollout(lines: DataFrame, topology: Topology, provider: str = "codex",
     worked = F.lit(False)
     for col in used.values():
         worked = worked | (col > 0)
-    state = hold(state.withColumn("emits", F.coalesce(worked, F.lit(False))), chunk)
+    state = hold(state.withColumn("emits", F.coalesce(worked, F.lit(False)) & base.isNull()), chunk)
     state = running(state, FILE, PLACE, [
-        Scan("turn", "total", F.col("emits").cast("int"))], chunk)
+        Scan("turn", "total", F.coalesce(base, F.col("emits").cast("int")))], chunk)
+    last = state.groupBy(*FILE).agg(F.max_by(
+        F.struct(F.col("m").alias("meta"), F.col("c").alias("ctx"), F.coalesce("totals", "prev").alias("totals"),
+                 F.col("turn").cast("bigint").alias("base")), F.struct(*PLACE)).alias("end"))
+    waiting = state.filter("call is not null").join(
+        last.select(F.col("file").alias("l_file"), F.col("end.base").alias("l_turn")),
+        (F.col("file") == F.col("l_file")) & (F.col("turn") == F.col("l_turn")), "left_semi")
+    left = last.select("file", "end.*").unionByName(waiting.select("file", "line", "call"), allowMissingColumns=True)
     turns = state.filter("emits")
     keys = turns.select(F.col("file").alias("k_file"), F.col("turn").alias("k_turn"))
     calls = state.filter("call is not null").select(
@@ -185,7 +235,7 @@ def rollout(lines: DataFrame, topology: Topology, provider: str = "codex",
                             lambda x: x.isNotNull()), empty).alias("tools"),
         F.coalesce(F.flatten(F.transform("calls", lambda x: x["call"]["paths"])), empty)
         .alias("_paths"))
-    return finish(framed, topology)
+    return finish(framed, topology), left
 
 
 # -- op logs: event-sourced steps -----------------------------------------------
@@ -256,6 +306,11 @@ def oplog(lines: DataFrame, topology: Topology, index: DataFrame | None = None,
     A call joins the first end of its step that follows it. Calls that name no
     step stay without a turn.
     """
+    # Parsed once into a few fields; ends, calls and turns are all read from there.
+    return oplog_turns(write_and_read(oplog_read(lines), "oplog"), topology, index, workspaces, provider, chunk)[0]
+
+
+def oplog_read(lines: DataFrame) -> DataFrame:
     kind, event = F.col("kind"), F.col("event")
     # Most operations are messages: they are dropped before any field is looked up.
     recs = L.records(lines).select("*", L.dig("rec", "type").alias("kind"),
@@ -266,8 +321,9 @@ def oplog(lines: DataFrame, topology: Topology, index: DataFrame | None = None,
     is_call = loop & F.coalesce(event == "tool.call", F.lit(False))
     recs = recs.filter(update | ended | is_call)
     d = lambda p, t="string": L.dig("rec", p, t)
+    places = _places(lines)
     fields = recs.select(
-        "file", "block", "line", ended.alias("ended"), is_call.alias("is_call"),
+        *places, ended.alias("ended"), is_call.alias("is_call"),
         *[F.when(update, d(c)).alias(c) for c in ("modelAlias", "cwd", "thinkingEffort")],
         F.when(ended, d("event.uuid")).when(is_call, d("event.stepUuid")).alias("step"),
         F.when(ended, d("event.usage", "variant")).alias("usage"), d("time", "double").alias("ms"),
@@ -280,29 +336,35 @@ def oplog(lines: DataFrame, topology: Topology, index: DataFrame | None = None,
     counted = F.col("ended") & F.coalesce(F.size(F.try_variant_get(
         "usage", "$", "map<string,variant>")) > 0, F.lit(False))
     read = fields.select(
-        "file", "block", "line", "ended", "is_call", "step", "ms", "stop",
+        *places, "ended", "is_call", "step", "ms", "stop",
         oplog_model(F.col("modelAlias")).alias("u_model"), L.truthy(F.col("cwd")).alias("u_cwd"),
         L.truthy(F.col("thinkingEffort")).alias("u_effort"), counted.alias("counted"),
         F.when(counted, step_tokens(F.col("usage"))).alias("tokens"),
         L.truthy(F.col("name")).alias("name"),
         F.when(F.col("is_call"), paths).alias("paths"))
-    read = read.filter(F.coalesce("u_model", "u_cwd", "u_effort").isNotNull()
+    return read.filter(F.coalesce("u_model", "u_cwd", "u_effort").isNotNull()
                        | F.col("ended") | F.col("is_call"))
-    # Parsed once into a few fields; ends, calls and turns are all read from there.
-    read = write_and_read(read, "oplog")
-    state = running(read, FILE, PLACE, [
+
+
+def oplog_turns(parsed: DataFrame, topology: Topology, index: DataFrame | None = None,
+                workspaces: DataFrame | None = None, provider: str = "kimi-code",
+                chunk: str | None = None) -> tuple[DataFrame, DataFrame]:
+    state = running(parsed, FILE, PLACE, [
         Scan("model", "last", F.col("u_model")), Scan("cwd", "last", F.col("u_cwd")),
         Scan("set_effort", "last", F.col("u_effort")),
-        Scan("turn", "total", F.col("counted").cast("int"))], chunk)
-    ends = state.filter("ended").groupBy(F.col("file").alias("e_file"), F.col("step")
-                                         .alias("e_step")).agg(
-        F.min(F.struct("block", "line")).alias("e_at"))
-    calls = state.filter("is_call").select("file", "step", "block", "line", "name", "paths")
-    calls = calls.join(ends, (calls["file"] == ends["e_file"]) & (calls["step"] == ends["e_step"])
-                       & (F.struct("block", "line") < F.col("e_at")))
-    listed = calls.groupBy(F.col("file").alias("c_file"), F.col("step").alias("c_step"),
-                           F.col("e_at").alias("c_at")).agg(
+        Scan("turn", "total", F.coalesce(_base(parsed), F.col("counted").cast("int"), F.lit(0)))], chunk)
+    steps = parsed.filter("(ended or is_call) and step is not null").select(
+        *FILE, *PLACE, "step", "ended", "is_call", "name", "paths")
+    calls = running(steps, [*FILE, "step"], PLACE, [
+        Scan("e_at", "next", F.when(F.col("ended"), F.struct(*PLACE)))], chunk).filter("is_call")
+    listed = calls.filter("e_at is not null").groupBy(
+        F.col("file").alias("c_file"), F.col("step").alias("c_step"), F.col("e_at").alias("c_at")).agg(
         F.array_sort(F.collect_list(F.struct("block", "line", "name", "paths"))).alias("calls"))
+    last = state.groupBy(*FILE).agg(F.max_by(
+        F.struct(F.col("model").alias("u_model"), F.col("cwd").alias("u_cwd"), F.col("set_effort").alias("u_effort"),
+                 F.col("turn").cast("bigint").alias("base")), F.struct(*PLACE)).alias("end"))
+    waiting = calls.filter("e_at is null").select("file", "line", "step", "is_call", "name", "paths")
+    left = last.select("file", "end.*").unionByName(waiting, allowMissingColumns=True)
     turns = state.filter("counted")
     joined = turns.join(listed, (turns["file"] == listed["c_file"])
                         & (turns["step"] == listed["c_step"])
@@ -338,7 +400,7 @@ def oplog(lines: DataFrame, topology: Topology, index: DataFrame | None = None,
         F.coalesce(F.filter(F.transform("calls", lambda x: x["name"]), lambda x: x.isNotNull()),
                    empty).alias("tools"),
         F.coalesce(F.flatten(F.transform("calls", lambda x: x["paths"])), empty).alias("_paths"))
-    return finish(framed, topology)
+    return finish(framed, topology), left
 
 
 # -- planner logs ---------------------------------------------------------------
@@ -346,9 +408,19 @@ def oplog(lines: DataFrame, topology: Topology, index: DataFrame | None = None,
 def planner(lines: DataFrame, topology: Topology, provider: str = "antigravity",
             chunk: str | None = None) -> DataFrame:
     """Planner responses; a turn without token counts is estimated from its text length."""
+    return planner_turns(planner_read(lines), topology, provider, chunk)[0]
+
+
+def planner_turns(parsed: DataFrame, topology: Topology, provider: str = "antigravity",
+                  chunk: str | None = None) -> tuple[DataFrame, DataFrame]:
+    base = _base(parsed)
+    recs = running(parsed, FILE, PLACE, [Scan("turn", "total", F.coalesce(base, F.lit(1)))], chunk)
+    return finish(recs.filter(base.isNull()).withColumn("provider", F.lit(provider)), topology), _ordinals(recs)
+
+
+def planner_read(lines: DataFrame) -> DataFrame:
     recs = L.records(lines).filter((L.dig("rec", "source") == "MODEL")
                                    & (L.dig("rec", "type") == "PLANNER_RESPONSE"))
-    recs = running(recs, FILE, PLACE, [Scan("turn", "total", F.lit(1))], chunk)
     d = lambda p, t="string": L.dig("rec", p, t)
     either = lambda *ps: F.coalesce(*[L.truthy(d(p)) for p in ps])
     box = F.when(F.size(d("usage", "map<string,variant>")) > 0, d("usage", "variant")) \
@@ -365,9 +437,8 @@ def planner(lines: DataFrame, topology: Topology, provider: str = "antigravity",
     at = F.array_position(parts, "brain").cast("int")
     sid = F.when((at > 0) & (at < F.size(parts)), F.get(parts, at))
     paths = L.path_args(blocks, "args", PLANNER_PATHS)
-    framed = recs.select(
-        "file", "line", F.lit(provider).alias("provider"), "turn",
-        either("created_at", "timestamp").alias("ts_raw"),
+    return recs.select(
+        *_places(lines), either("created_at", "timestamp").alias("ts_raw"),
         session_id(F.coalesce(L.truthy(sid), d("sessionId"))).alias("session"),
         F.coalesce(F.get(paths, F.lit(0)), F.lit("")).alias("_cwd"), F.lit("ide")
         .alias("entrypoint"),
@@ -382,4 +453,15 @@ def planner(lines: DataFrame, topology: Topology, provider: str = "antigravity",
         L.counter(box, "cache_creation_input_tokens").alias("cache_create"),
         L.counter(box, "cache_read_input_tokens").alias("cache_read"),
         _names(blocks).alias("tools"), paths.alias("_paths"))
-    return finish(framed, topology)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """A reader's two halves: lines to parsed rows, parsed rows to turns and what is carried on."""
+
+    read: Callable[[DataFrame], DataFrame]
+    turns: Callable[..., tuple[DataFrame, DataFrame]]
+
+
+TRANSCRIPT, ROLLOUT = Shape(transcript_read, transcript_turns), Shape(rollout_read, rollout_turns)
+OPLOG, PLANNER = Shape(oplog_read, oplog_turns), Shape(planner_read, planner_turns)

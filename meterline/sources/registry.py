@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from meterline.operators.attribution import Topology
 from meterline.sources import logs as L
 from meterline.sources import native as N
+from meterline.sources.resume import GrowingLogs
 from meterline.sources.spec import load_specs
 from meterline.sources.store import Source
 
@@ -44,12 +45,30 @@ class LogSource:
         return Source(self.provider, self.load)
 
 
+def _side_tables(index: str, workspaces: str) -> dict[str, Callable[[SparkSession], DataFrame]]:
+    return {"index": lambda spark: N.session_index(L.read_lines(spark, index)),
+            "workspaces": lambda spark: N.workspace_names(L.read_documents(spark, workspaces))}
+
+
+def growing_sources(topology: Topology, store: str, roots: dict[str, list[str]] | None = None, index: str = INDEX,
+                    workspaces: str = WORKSPACES, specs: list[str] | None = None) -> list[GrowingLogs]:
+    """Native sources and JSONL specs that read on where the last ingest ended, for ``resume.sync_grown``.
+
+    Specs of whole JSON documents are not among them: such a document is read anew when it changes.
+    """
+    at = {**ROOTS, **(roots or {})}
+    shapes = {"claude-code": N.TRANSCRIPT, "codex": N.ROLLOUT, "kimi-code": N.OPLOG, "antigravity": N.PLANNER}
+    native = [GrowingLogs(name, L.expand(at[name]), shape, topology, store,
+                          _side_tables(index, workspaces) if shape is N.OPLOG else {}) for name, shape in shapes.items()]
+    return native + [GrowingLogs(s.provider, L.expand(s.spec["roots"]), N.Shape(s.parsed, s.numbered), topology, store)
+                     for s in load_specs(specs or [], topology) if s.spec.get("format") != "json"]
+
+
 def native_sources(topology: Topology, roots: dict[str, list[str]] | None = None,
                    index: str = INDEX, workspaces: str = WORKSPACES) -> list[LogSource]:
     """The four native log shapes at their usual places, or at the given ones."""
     at = {**ROOTS, **(roots or {})}
-    sides = {"index": lambda spark: N.session_index(L.read_lines(spark, index)),
-             "workspaces": lambda spark: N.workspace_names(L.read_documents(spark, workspaces))}
+    sides = _side_tables(index, workspaces)
     return [LogSource("claude-code", at["claude-code"], N.transcript, topology),
             LogSource("codex", at["codex"], N.rollout, topology),
             LogSource("kimi-code", at["kimi-code"], N.oplog, topology, sides),

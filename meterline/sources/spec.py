@@ -51,11 +51,21 @@ class SpecSource:
             recs = L.array_records(lines, self.spec.get("records"))
         else:
             recs = L.records(lines)
-        recs = recs.filter(self.is_turn())
-        # Only turns are numbered, so the filter comes first.
-        numbered = running(recs, ["file"], ["block", "line"],
-                           [Scan("turn", "total", F.lit(1))], chunk)
-        return self._shape(numbered)
+        return self.numbered(self._shape(recs.filter(self.is_turn()), lines), chunk=chunk)[0]
+
+    def parsed(self, lines: DataFrame) -> DataFrame:
+        """Lines of a JSONL log -> its turns without their numbers."""
+        return self._shape(L.records(lines).filter(self.is_turn()), lines)
+
+    def numbered(self, parsed: DataFrame, topology: Topology | None = None, provider: str | None = None,
+                 chunk: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Numbered turns, and how many there are of each file for a later read to go on from."""
+        base = F.col("base") if "base" in parsed.columns else F.lit(None).cast("bigint")
+        # Only turns are numbered, so the filter came first.
+        recs = running(parsed, ["file"], ["block", "line"], [Scan("turn", "total", F.coalesce(base, F.lit(1)))], chunk)
+        turns = recs.filter(base.isNull()).withColumn("provider", F.lit(provider or self.provider))
+        left = recs.groupBy("file").agg(F.max("turn").cast("bigint").alias("base"))
+        return finish(turns, topology or self.topology), left
 
     def is_turn(self) -> Column:
         """The ``where`` paths match and some token counter is not zero."""
@@ -79,7 +89,7 @@ class SpecSource:
         flag = F.col("file").rlike(side) if side and _groups(side) is not None else F.lit(False)
         return (F.coalesce(*ids) if ids else F.lit(None).cast("string")), flag
 
-    def _shape(self, recs: DataFrame) -> DataFrame:
+    def _shape(self, recs: DataFrame, lines: DataFrame) -> DataFrame:
         spec = self.spec
         path_session, path_side = self.from_path()
         entry = L.truthy(self._text("entrypoint"))
@@ -97,8 +107,8 @@ class SpecSource:
                           lambda b: L.equals(b, cfg.get("where")))
         names = F.transform(blocks, lambda b: L.truthy(L.dig(b, cfg.get("name", "name"))))
         keys = cfg.get("path_args", ("file_path", "path"))
-        framed = recs.select(
-            "file", "line", F.lit(self.provider).alias("provider"), "turn",
+        return recs.select(
+            "file", "block", "line", *(c for c in ("fresh",) if c in lines.columns),
             epoch_to_iso(self._text("ts"), spec.get("ts_unit")).alias("ts_raw"),
             session_id(F.coalesce(L.truthy(self._text("session")), path_session))
             .alias("session"),
@@ -110,7 +120,6 @@ class SpecSource:
             *[v.alias(c) for c, v in counts.items()],
             F.filter(names, lambda n: n.isNotNull()).alias("tools"),
             L.path_args(blocks, cfg.get("args", "input"), keys).alias("_paths"))
-        return finish(framed, self.topology)
 
 
 def _groups(pattern: str) -> int | None:

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterline.schema import event_key
-from meterline.sources.store import (UNDATED, _exists, append, first_copies, month_of, reconcile,
-                                      reconcile_months, scan)
+from meterline.cluster import write_and_read
+from meterline.sources import tail
+from meterline.sources.resume import GrowingLogs
+from meterline.sources.store import (UNDATED, _exists, append, first_copies, month_of, reconcile_months)
 
 LATE_ROLLUP = "2 hours"   # how late a turn may be and still be counted in a window
 
@@ -28,16 +29,27 @@ def watch_tables(spark: SparkSession, path: str, schema: T.StructType,
     return reader.parquet(path)
 
 
-def watch_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log files as a stream of lines with their file.
+def watch_logs(spark: SparkSession, globs: list[str]) -> DataFrame:
+    """Log files as a stream of lines: new files, and what known files have gained.
 
-    A file source notices new files, not new bytes: logs must be dropped whole.
-    Use ``refresh_grown`` for logs that keep growing.
+    The checkpoint holds every file's size. A last line without a line feed waits; a file that
+    has shrunk is read from its start.
     """
-    return spark.readStream.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"), "value")
+    return tail.watch(spark, globs)
+
+
+def ingest_logs(logs: GrowingLogs, lines: DataFrame, checkpoint: str, trigger: dict | None = None) -> None:
+    """Turns of streamed log lines, appended to the store that ``logs`` names.
+
+    What a reader carries from batch to batch - totals, settings, ordinals, waiting calls - is
+    kept in versions named by the batch. A batch that is run again starts from the version
+    before it, and the store's keys recognise the turns it had appended.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        logs.take(batch, batch_id + 1, chunk="block")
+
+    _finish(lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def _finish(query) -> None:
@@ -61,7 +73,7 @@ def refresh_grown(spark: SparkSession, load, store: str, since: str) -> DataFram
     decides what is new, so a grown, shrunk or rewritten log is safe.
     """
     fresh = load(spark, since)
-    return reconcile(fresh, scan(spark, store).drop("month")) if _exists(spark, store) else fresh
+    return reconcile_months(write_and_read(fresh, "fresh"), store) if _exists(spark, store) else fresh
 
 
 def once_only(turns: DataFrame, store: str, checkpoint: str) -> None:

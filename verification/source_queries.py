@@ -11,6 +11,7 @@ from meterline.sources import logs as L
 from meterline.sources import native as N
 from meterline.sources import store as S
 from meterline.sources.registry import LogSource
+from meterline.sources.resume import GrowingLogs
 from meterline.sources.spec import SpecSource
 from verification.registry import query
 from verification.rollup_queries import _doubled
@@ -301,6 +302,18 @@ def s14_files(spark, sf):
         "session", "turn", "input", "output", "cache_create", "cache_read")
 
 
+@query("s14_resumed", f"""
+WITH a AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id % {FILES} ORDER BY event_id) AS INTEGER) AS turn
+  FROM events WHERE event_id % 3 <> 0)
+SELECT 'abcdefgh' || user_id AS session, turn, event_id % 500 AS input, event_id % 90 + 1 AS output,
+  event_id % 40 AS cache_create, event_id % 3000 AS cache_read FROM a WHERE event_id % 4 <> 0""")
+def s14_resumed(spark, sf):
+    """Ordinals go on over three ingests; a log is read by many tasks of 64 kB."""
+    lines = transcript_lines(spark, sf)
+    return read_in_pieces(spark, lines, N.TRANSCRIPT, 3, 1 << 16)[0].select(
+        "session", "turn", "input", "output", "cache_create", "cache_read")
+
+
 @query("s26_grown_logs", """
 WITH t AS (SELECT event_id, (SELECT max(event_id) // 2 FROM events) AS half FROM events
   WHERE event_id % 3 <> 0 AND event_id % 4 <> 0)
@@ -324,6 +337,52 @@ def s26_grown(spark, sf):
     return out
 
 
+def grow(spark, lines, path, keep):
+    """Log files of stable names that hold the lines kept, in order; a log grows in place."""
+    staged = scratch_path(spark, "staged")
+    on_disk(spark, lines, staged, keep)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(path))
+    for f in fs.globStatus(at(f"{staged}/log=*/part-*")):
+        name = f.getPath().getParent().getName().removeprefix("log=")
+        fs.delete(at(f"{path}/log{name}"), False)
+        fs.rename(f.getPath(), at(f"{path}/log{name}"))
+
+
+def bytes_of(lines, keep):
+    return lines.filter(keep).agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0]
+
+
+def read_in_pieces(spark, lines, shape, pieces=5, bytes_per_task=1 << 20):
+    """Turns of logs that grew between ``pieces`` ingests, and what every ingest reports."""
+    path, store = scratch_path(spark, "logs"), scratch_path(spark, "store")
+    logs = GrowingLogs("disk", [f"{path}/*"], shape, TOPOLOGY, store, bytes_per_task=bytes_per_task)
+    last, reports, before = lines.agg(F.max("line")).first()[0], [], 0
+    for piece in range(1, pieces + 1):
+        keep = f"line <= {last * piece // pieces}"
+        grow(spark, lines, path, keep)
+        now = bytes_of(lines, keep)
+        reports.append((f"piece {piece}", now - before, logs.sync(spark)))
+        before = now
+    reports.append(("nothing new", 0, logs.sync(spark)))
+    return S.scan(spark, store), reports
+
+
+@query("s26_byte_ranges", """
+WITH l AS (SELECT max(event_id) AS last FROM events),
+p AS (SELECT r, last * r // 3 AS hi, CASE r WHEN 1 THEN -1 ELSE last * (r - 1) // 3 END AS lo FROM l, range(1, 4) g(r)),
+t AS (SELECT event_id FROM events WHERE event_id % 3 <> 0 AND event_id % 4 <> 0)
+SELECT 'piece ' || r AS run, count(event_id) AS written, true AS new_bytes_only
+FROM p LEFT JOIN t ON event_id > lo AND event_id <= hi GROUP BY r UNION ALL SELECT 'nothing new', 0, true""")
+def s26_bytes(spark, sf):
+    """Logs grow in three pieces: every ingest reads the bytes that are new and no others."""
+    lines = transcript_lines(spark, sf).filter("value is not null")
+    _, reports = read_in_pieces(spark, lines, N.TRANSCRIPT, 3)
+    rows = [(run, r["written"], r["bytes"] == size) for run, size, r in reports]
+    return spark.createDataFrame(rows, "run string, written bigint, new_bytes_only boolean")
+
+
 def rollout_lines(spark, sf):
     """Settings, calls and running totals; totals repeat, and reset now and then."""
     i, u = F.col("event_id"), F.col("user_id")
@@ -385,6 +444,24 @@ def s15_files(spark, sf):
     return t.select(number.alias("number"), "turn", "input", "cache_read", "output")
 
 
+RESUMED_SQL = ROLLOUT_SQL + """
+SELECT d * 10 + 5 AS number, CAST(n AS INTEGER) AS turn, step * 2 AS input, step AS cache_read, step * 2 AS output,
+  'light-a' AS model, CASE WHEN d % 2 = 0 THEN 'ide' END AS entrypoint, CASE WHEN d % 2 = 0 THEN 'ctx' ELSE 'meta' END AS workspace,
+  waits * 2 AS calls FROM w JOIN c USING (f, grp) WHERE emits"""
+
+
+def resumed(turns_):
+    number = F.regexp_extract("session", "([0-9]+)$", 1).cast("long") + 4
+    return turns_.select(number.alias("number"), "turn", "input", "cache_read", "output", "model", "entrypoint", "workspace",
+                         F.size("tools").cast("long").alias("calls"))
+
+
+@query("s15_resumed", RESUMED_SQL)
+def s15_resumed(spark, sf):
+    """Totals, settings, ordinals and waiting calls are carried over five ingests of growing logs."""
+    return resumed(read_in_pieces(spark, rollout_lines(spark, sf), N.ROLLOUT)[0])
+
+
 @query("s16_carried_settings", ROLLOUT_SQL + """
 SELECT d * 10 + 5 AS seq, 'thread-' || (d * 10 + 1) AS session, 'light-a' AS model, 'high' AS effort,
   CASE WHEN d % 2 = 0 THEN 'ide' END AS entrypoint, CASE WHEN d % 2 = 0 THEN 'ctx' ELSE 'meta' END AS workspace
@@ -477,6 +554,14 @@ def s19_files(spark, sf):
         .agg(F.count("*").alias("n"))
 
 
+@query("s19_resumed", OPLOG_SQL + """
+SELECT turn, model, effort, coalesce(cwd, 'ops') AS repo, 'ReadFile,Shell' AS calls, count(*) AS n FROM o GROUP BY ALL""")
+def s19_resumed(spark, sf):
+    """Settings, ordinals and calls of unfinished steps are carried over five ingests of growing logs."""
+    t, _ = read_in_pieces(spark, oplog_lines(spark, sf), N.OPLOG)
+    return t.groupBy("turn", "model", "effort", "repo", F.array_join("tools", ",").alias("calls")).agg(F.count("*").alias("n"))
+
+
 @query("s20_step_calls", OPLOG_SQL + """
 SELECT d * 10 + 5 AS seq, ['ReadFile', 'Shell'] AS tools, coalesce(cwd, 'ops') AS repo,
   CASE WHEN cwd IS NULL THEN ['docs'] ELSE CAST([] AS VARCHAR[]) END AS surfaces FROM o""")
@@ -536,6 +621,16 @@ def s24_files(spark, sf):
         .agg(F.count("*").alias("logs"))
 
 
+@query("s24_resumed", f"""
+WITH a AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id % {FILES} ORDER BY conv_id * 1000 + turn) AS INTEGER) AS n
+  FROM conversations WHERE role = 'assistant')
+SELECT DISTINCT n AS turn, CASE WHEN turn % 4 = 3 THEN 77 ELSE 1500 END AS input,
+  CASE WHEN turn % 4 = 3 THEN 33 ELSE greatest(10, length(text) // 4) END AS output FROM a""")
+def s24_resumed(spark, sf):
+    """Logs of one folder have no session here, so turns with the same number and counts are one."""
+    return read_in_pieces(spark, planner_lines(spark, sf), N.PLANNER, 3)[0].select("turn", "input", "output").distinct()
+
+
 @query("s24_planner_log", f"""
 WITH a AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id % {FILES} ORDER BY conv_id * 1000 + turn) AS INTEGER) AS n
   FROM conversations WHERE role = 'assistant')

@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from meterline.cluster import scratch_path
 from meterline.schema import conform
+from meterline.sources import native as N
+from meterline.sources import store as S
+from meterline.sources.resume import GrowingLogs
 from meterline.streaming import jobs as J
 from verification.registry import query
-from verification.tables import turns, with_turns
+from verification.source_queries import RESUMED_SQL, grow, resumed, rollout_lines
+from verification.tables import TOPOLOGY, turns, with_turns
 
 
 def landed(spark, sf, *parts):
@@ -59,6 +63,20 @@ def x01(spark, sf):
         F.count("*").alias("n"), F.sum("output").alias("output"))
 
 
+@query("x01_log_stream", RESUMED_SQL)
+def x01_logs(spark, sf):
+    """Logs drop and grow between three triggers of one stream; the turns are those of the whole logs."""
+    lines = rollout_lines(spark, sf)
+    path, store, mark = (scratch_path(spark, n) for n in ("logs", "store", "mark"))
+    logs = GrowingLogs("disk", [f"{path}/*"], N.ROLLOUT, TOPOLOGY, store)
+    last = lines.agg(F.max("line")).first()[0]
+    early = F.xxhash64("file") % 2 == 0
+    for piece in range(1, 4):  # the late half of the logs only appears with the second trigger
+        grow(spark, lines.filter(early) if piece < 2 else lines, path, f"line <= {last * piece // 3}")
+        J.ingest_logs(logs, J.watch_logs(spark, logs.globs), mark)
+    return resumed(S.scan(spark, store))
+
+
 @query("x02_stream_dedupe", with_turns("SELECT seq, session, output FROM turns"))
 def x02(spark, sf):
     """Half of the drops arrive twice, newest first and one file at a time; a second run adds nothing."""
