@@ -76,6 +76,17 @@ def breakdown(priced: DataFrame, name: str) -> DataFrame:
             .orderBy(F.desc(rank), name))
 
 
+def subtotals(priced: DataFrame, dims: list[str], sets: list[tuple[str, ...]]) -> DataFrame:
+    """Buckets of several groupings of ``dims`` in one pass over the turns.
+
+    A missing label reads as in the breakdowns, so null always means "all values". ``level`` is
+    the grouping's number: the bit of every dimension that is summed over, the first the highest.
+    """
+    labelled = priced.withColumns({d: breakdown_label(d) for d in dims})
+    return labelled.groupingSets([[F.col(d) for d in s] for s in sets], *[F.col(d) for d in dims]).agg(
+        F.grouping_id().cast("bigint").alias("level"), *bucket())
+
+
 def by_agent(priced: DataFrame) -> DataFrame:
     """Delegated turns only."""
     return (priced.filter("sidechain").groupBy(breakdown_label("agent").alias("agent"))

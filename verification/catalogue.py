@@ -9,3 +9,4 @@ from verification import trend_queries  # noqa: F401
 from verification import source_queries  # noqa: F401
 from verification import privacy_queries  # noqa: F401
 from verification import stream_queries  # noqa: F401
+from verification import kept_queries  # noqa: F401
