@@ -36,6 +36,8 @@ from meterline.llm.texts import bucket, over_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PER_LANGUAGE, ROUNDS, MAX_PIECE, MAX_LANGUAGES = 3_000, 3, 10, 256
+# Letter runs up to this long need no scaling in the fit; longer ones are scaled as they go.
+UNSCALED = 40
 FOLDS, HELD_OUT = 3, 1
 WORDS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -128,8 +130,7 @@ class Model:
         total = np.zeros_like(self.table)
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            if len(w) <= 40:  # no scaling is needed below this; longer runs are rarely words
-                by_size.setdefault(len(w), []).append(i)
+            by_size.setdefault(len(w), []).append(i)
         for size, mine in by_size.items():
             step = max(1, 200_000 // (size + 1))
             for lo in range(0, len(mine), step):
@@ -137,6 +138,9 @@ class Model:
                 size_ = size + 1
                 codes = _codes("".join(START + words[i] for i in part)).reshape(len(part), size_)
                 pieces = self._pieces(codes)
+                if size > UNSCALED:
+                    self._add_scaled(total, pieces, counts[part], size_)
+                    continue
                 a, scaled = self._forward(pieces, len(part), size_)
                 b = np.zeros_like(a)
                 b[size_] = 1
@@ -156,6 +160,41 @@ class Model:
                             np.add.at(total, which[rows], value)
         return total
 
+    def _scaled(self, pieces: list[np.ndarray], rows: int, size: int, back: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all segmentations of every beginning (``back``: end) of words of any length.
+
+        Returned with the logarithms of what the sums have been multiplied by on the way.
+        """
+        a = np.zeros((size + 1, rows, len(self.languages)))
+        s = np.zeros_like(a)
+        a[size if back else 0] = 1
+        for j in (range(size - 1, -1, -1) if back else range(1, size + 1)):
+            s[j] = s[j + 1 if back else j - 1]
+            for k in range(1, min(self.max_piece, size - j if back else j) + 1):
+                start, other = (j, j + k) if back else (j - k, j - k)
+                which = pieces[k - 1][:, start]
+                rows_ = np.flatnonzero(which >= 0)
+                if len(rows_):
+                    a[j, rows_] += a[other, rows_] * self.table[which[rows_]] * np.exp(s[j, rows_] - s[other, rows_])
+            low = (a[j] < 1e-100) & (a[j] > 0)
+            a[j, low] *= 1e90
+            s[j, low] += np.log(1e90)
+        return a, s
+
+    def _add_scaled(self, total: np.ndarray, pieces: list[np.ndarray], counts: np.ndarray, size: int) -> None:
+        """Expected pieces of long words, added to ``total``."""
+        a, sa = self._scaled(pieces, len(counts), size, False)
+        b, sb = self._scaled(pieces, len(counts), size, True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a, b, table = np.log(a) - sa, np.log(b) - sb, np.log(self.table)
+            for k, found in enumerate(pieces, 1):
+                for i in range(found.shape[1]):
+                    which = found[:, i]
+                    rows = np.flatnonzero(which >= 0)
+                    if len(rows):
+                        value = np.exp(a[i, rows] + b[i + k, rows] + table[which[rows]] - a[-1, rows]) * counts[rows]
+                        np.add.at(total, which[rows], np.nan_to_num(value))
+
     def scorer(self):
         """A function from text to (language, probability); it remembers words."""
         number: dict[str, int] = {}

@@ -38,8 +38,8 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 Edit = tuple[int, int, str]
 
 # What a redaction replaces, and by what.
+_LOCAL, _DOMAIN = re.compile(r"[\w.+-]+"), re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _PRIVATE = (
-    (re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), "<email>", "@"),
     (re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b"), "<address>", "."),
     (re.compile(r"(?:\b\d )?\(\d{3}\) \d{3}-\d{4}\b"), "<phone>", "("),
     (re.compile(r"\b\d{16}\b"), "<card>", None),
@@ -137,9 +137,19 @@ def apply_edits(text: str, ends: list[int], tree: list[int], edits: list[Edit],
     return "".join([*parts, text[at:]]), new_ends, tree, len(edits), len(groups)
 
 
+def _mails(text: str) -> Iterator[Edit]:
+    """Mail addresses. Each run before an @ and each domain after one is looked at once."""
+    done = 0
+    for m in _LOCAL.finditer(text) if "@" in text else ():
+        start, sign = max(m.start(), done), m.end()
+        if start < sign and text[sign:sign + 1] == "@" and (domain := _DOMAIN.match(text, sign + 1)):
+            done = domain.end()
+            yield start, done, "<email>"
+
+
 def redactions(text: str) -> list[Edit]:
     """Edits that replace personal data and secrets by placeholders."""
-    return [(m.start(), m.end(), name) for pattern, name, sign in _PRIVATE if sign is None or sign in text
+    return [*_mails(text)] + [(m.start(), m.end(), name) for pattern, name, sign in _PRIVATE if sign is None or sign in text
             for m in pattern.finditer(text)]
 
 

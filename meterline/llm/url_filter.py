@@ -61,7 +61,8 @@ def fitting_rule(rules: list[tuple[str, str]]) -> Column:
         fits.append(F.when(on & F.startswith(F.col("path"), F.lit(slash + path)), F.struct(
             F.lit(len(rule)).alias("size"), F.lit(-i).alias("order"), F.lit(rule).alias("rule"),
             F.lit(verdict).alias("verdict"))))
-    return F.array_max(F.array_compact(F.array(*fits)))
+    none = F.lit(None).cast("struct<size:int,order:int,rule:string,verdict:string>")
+    return F.array_max(F.array_compact(F.array(*fits))) if fits else none
 
 
 def _share(of: Column, pattern: str) -> Column:
