@@ -6,6 +6,7 @@ path is looked at by Python code at run time and no path survives the parse.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import reduce
@@ -58,6 +59,12 @@ class Topology:
         self.rules = config.get("surface_rules") or {}
         self.lanes = config.get("lanes") or {}
 
+    @classmethod
+    def from_json(cls, path: str, home: str | None = None) -> Topology:
+        """A user's own layout; only ``code_roots`` is needed, the README shows every key."""
+        with open(path, encoding="utf-8") as handle:
+            return cls(json.load(handle), home)
+
     # -- path -> repo, rel ---------------------------------------------------
 
     def split(self, path: Column) -> Column:

@@ -3,11 +3,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.config import TOPOLOGY as DEFAULT
 from meterline.operators.attribution import Topology, gap_fill
 from meterline.operators.scan import Scan, running
 
-TOPO = Topology({**DEFAULT, "code_roots": ["~/code"], "lanes": {
+TOPO = Topology({
+    "code_roots": ["~/code"], "scratch_prefixes": ["/tmp/"],
+    "special_roots": {"~/.claude": "claude-config", "~/.config": "dotfiles"},
+    "incidental_repos": ["scratchpad", "claude-config", "dotfiles"],
+    "surface_rules": {"claude-config": [["projects/*/memory/*", "agent memory"]],
+                      "*": [["src/*", "src/{1}"], ["packages/*", "package:{1}"], ["docs/*", "docs"]]}, "lanes": {
     "default": "work", "rules": [{"repo": "toy", "lane": "personal"}]}}, home="/home/dev")
 
 
@@ -96,3 +100,9 @@ def test_chunked_scan_equals_plain_window(spark):
     cut = running(df, ["k"], ["id"], scans, "chunk").select(*df.columns, *"abcd") \
         .orderBy("id").collect()
     assert [tuple(r) for r in plain] == [tuple(r) for r in cut]
+
+
+def test_layout_from_json(tmp_path):
+    (tmp_path / "layout.json").write_text('{"code_roots": ["~/work"], "incidental_repos": ["notes"]}')
+    own = Topology.from_json(str(tmp_path / "layout.json"), home="/home/dev")
+    assert own.roots == ["/home/dev/work"] and own.incidental == ["notes"] and own.rules == {}

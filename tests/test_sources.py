@@ -4,14 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterline.cluster import get_session  # noqa: F401
-from meterline.config import TOPOLOGY as DEFAULT
 from meterline.operators.attribution import Topology
 from meterline.sources import logs as L
 from meterline.sources import native as N
 from meterline.sources import store as S
 from meterline.sources.spec import SpecSource, load_specs
 
-TOPO = Topology({**DEFAULT, "code_roots": ["/home/dev/code"]}, home="/home/dev")
+TOPO = Topology({"code_roots": ["/home/dev/code"], "surface_rules": {"*": [["src/*", "src/{1}"]]}}, home="/home/dev")
 SPEC = {"provider": "p", "where": {"type": "model"}, "input_is_total": True,
         "from_path": {"session": [r"/session-.*-([^-/]+)\.jsonl$"], "sidechain": "["},
         "fields": {"ts": "timestamp", "model": "model", "input": "tokens.input",
