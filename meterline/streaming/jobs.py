@@ -16,6 +16,7 @@ from meterline.cluster import write_and_read
 from meterline.sources import tail
 from meterline.sources.resume import GrowingLogs
 from meterline.sources.store import (UNDATED, _exists, append, first_copies, month_of, reconcile_months)
+from meterline.streaming.state import BUCKETS, BucketedRows
 
 LATE_ROLLUP = "2 hours"   # how late a turn may be and still be counted in a window
 
@@ -126,64 +127,41 @@ def session_rollup(turns: DataFrame, gap: str | None = None, by: str | None = No
             .agg(*facts).drop("session_window"))
 
 
-def session_totals(turns: DataFrame, path: str, checkpoint: str) -> None:
+def session_totals(turns: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> None:
     """Facts per session id, kept up to date without streaming state.
 
-    A batch is combined to one row per session and merged with the version before; the next
-    version is written beside it. So memory does not grow with the sessions ever seen, and a
-    batch that is run again starts from the same version.
+    A batch is combined to one row per session and merged into the buckets its sessions lie
+    in, so memory does not grow with the sessions ever seen nor a batch's work with the
+    history; a batch that is run again starts from the same rows.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        _next_version(session_rollup(batch), path, batch_id, lambda before, new: (
-            before.unionByName(new).groupBy("session").agg(
-                F.sum("turns").alias("turns"), F.sum("output").alias("output"), F.min("start").alias("start"),
-                F.max("end").alias("end"), F.max("peak_context").alias("peak_context"))))
+        BucketedRows(batch.sparkSession, path).merge(session_rollup(batch), "session", batch_id, buckets, _added)
 
     _finish(turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def keep_latest(frame: DataFrame, path: str, checkpoint: str, key: str) -> None:
+def _added(before: DataFrame, new: DataFrame) -> DataFrame:
+    return before.unionByName(new).groupBy("session").agg(
+        F.sum("turns").alias("turns"), F.sum("output").alias("output"), F.min("start").alias("start"),
+        F.max("end").alias("end"), F.max("peak_context").alias("peak_context"))
+
+
+def keep_latest(frame: DataFrame, path: str, checkpoint: str, key: str, buckets: int = BUCKETS) -> None:
     """Update-mode sink: one row per key, the newest.
 
-    Each batch's changed rows are merged with the version before and written as the next
-    version; older versions go, so neither the folder nor a read grows with the batches. A
-    batch that is run again overwrites its own version.
+    A batch's rows replace those of their keys, bucket by bucket; see ``state.BucketedRows``.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        changed = batch.select(F.col(key).alias("_k"))
-        _next_version(batch, path, batch_id, lambda before, new: new.unionByName(
-            before.join(changed, before[key].eqNullSafe(changed["_k"]), "left_anti")))
+        BucketedRows(batch.sparkSession, path).merge(batch, key, batch_id, buckets)
 
     _finish(frame.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def _next_version(new: DataFrame, path: str, batch_id: int, merge) -> None:
-    spark = new.sparkSession
-    older = [v for v in _versions(spark, path) if v < batch_id]
-    rows = new
-    if older:
-        rows = merge(spark.read.schema(new.schema).parquet(f"{path}/version={older[-1]}"), new)
-    rows.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-    for v in older[:-1]:  # the last one stays in case this batch is run again
-        _delete(spark, f"{path}/version={v}")
-
-
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """Current state of an update-mode sink."""
-    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions below ``path``, oldest first."""
-    return sorted(int(v) for v in _folders(spark, path, "version=")
-                  if _exists(spark, f"{path}/version={v}/_SUCCESS"))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    """Current rows of ``session_totals`` or ``keep_latest``."""
+    return BucketedRows(spark, path).rows()
 
 
 def rebuild_days(turns: DataFrame, raw: str, rollup: str, checkpoint: str,

@@ -14,7 +14,8 @@ NAMES = ["p05_rate_in_force", "p12_turn_cost", "p15_peak_spend", "p22_rolling_us
          "a10_gap_fill_one_session", "d12_peak_window", "d10_investment_concentration",
          "t05_change_points", "t06_events", "s12_turn_ordinal", "s15_running_total",
          "s20_step_calls", "s30_dedupe", "h02_share_metrics", "k02_person_days",
-         "k08_merged_quantile", "x04_hourly_rollup", "x06_session_rollup"]
+         "k08_merged_quantile", "x04_hourly_rollup", "x06_session_rollup", "p05_asof_last",
+         "t10_asof_next", "a10_kept_fill"]
 
 
 @pytest.fixture(scope="module")

@@ -1,4 +1,4 @@
-"""Cubes kept by merging ingests, mergeable sketches and subtotals, beside SQL over all turns."""
+"""What is kept from ingest to ingest - cubes, sketches, filled turns - and as-of joins, beside SQL over all turns."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from meterline.cluster import scratch_path, write_and_read
 from meterline.operators import rollups as R
+from meterline.operators.asof import asof_join
 from meterline.plans import kept
+from meterline.plans.filled import FilledTurns
 from verification.registry import query
 from verification.rollup_queries import BUCKET, CUBE_SQL, HOURS_SQL, TOOLS_SQL
-from verification.tables import digest, with_priced
+from verification.tables import TOPOLOGY, digest, turns, with_filled, with_priced, with_turns
 
 
 def kept_cube(spark, sf, make, ingests=5):
@@ -76,3 +78,38 @@ def g04_subtotals(spark, sf):
     """Five levels in one pass; a missing label is ``unknown``, a total null, and ``level`` tells which."""
     return R.subtotals(digest(spark, sf).priced, ["provider", "model", "phase"],
                        [("provider", "model"), ("provider", "phase"), ("model",), ("provider",), ()])
+
+
+EDITS = """
+, v AS (SELECT person, provider, ts, max(output) AS price FROM turns WHERE list_contains(tools, 'Edit') GROUP BY ALL)
+"""
+
+
+def edits(spark, sf):
+    return turns(spark, sf).filter(F.array_contains("tools", "Edit"))
+
+
+@query("p05_asof_last", with_turns(EDITS + """
+SELECT seq, v.ts AS since, v.price FROM turns t ASOF LEFT JOIN v ON t.person = v.person AND t.ts >= v.ts"""))
+def p05_asof(spark, sf):
+    """Every turn meets the last edit of its person, itself included: two growing sides."""
+    return asof_join(turns(spark, sf).select("seq", "person", "ts"), edits(spark, sf), {"person": "person"}, "ts", "ts",
+                     {"ts": "since", "output": "price"}).select("seq", "since", "price")
+
+
+@query("t10_asof_next", with_turns(EDITS + """
+SELECT seq, v.ts AS since FROM turns t ASOF LEFT JOIN v ON t.provider = v.provider AND t.ts < v.ts"""))
+def t10_asof(spark, sf):
+    """The next edit of the provider; four keys hold everything and are cut into chunks."""
+    return asof_join(turns(spark, sf).select("seq", "provider", "ts"), edits(spark, sf), {"provider": "provider"}, "ts", "ts",
+                     {"ts": "since"}, forward=True, strict=True, chunk_rows=500).select("seq", "since")
+
+
+@query("a10_kept_fill", with_filled("SELECT seq, repo, surface, inferred FROM filled"))
+def a10_kept(spark, sf):
+    """Turns of three ingests, the later ones in a few sessions; each fills what it touches."""
+    store = FilledTurns(spark, scratch_path(spark, "filled"), TOPOLOGY, buckets=8)
+    part = F.when(F.col("person").cast("int") % 50 == 0, F.col("seq") % 3 + 1).otherwise(1)
+    for n in (1, 2, 3):
+        store.fold(turns(spark, sf).filter(part == n), n)
+    return store.rows().select("seq", "repo", "surface", "inferred")

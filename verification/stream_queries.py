@@ -146,9 +146,9 @@ def x06(spark, sf):
     """Two runs of several batches update the same sessions."""
     path, schema = landed(spark, sf, "seq % 2 = 0")
     out, mark = scratch_path(spark, "sessions"), scratch_path(spark, "mark")
-    J.session_totals(J.watch_tables(spark, path, schema, 1), out, mark)
+    J.session_totals(J.watch_tables(spark, path, schema, 1), out, mark, buckets=16)
     turns(spark, sf).filter("seq % 2 = 1").write.mode("append").parquet(path)
-    J.session_totals(J.watch_tables(spark, path, schema, 1), out, mark)
+    J.session_totals(J.watch_tables(spark, path, schema, 1), out, mark, buckets=16)
     return J.latest(spark, out)
 
 
