@@ -41,6 +41,48 @@ def test_runs_are_compacted_by_level(spark):
         assert lost == ({b"same": None} if i else {})
         runs.compact()
     assert [len(level) for level in runs.levels] == [1, 0, 1]
+    runs.close()
+
+
+def test_default_call_compacts_and_leaves_no_tables(spark, monkeypatch):
+    made, compact = [], line_dedup.Runs.compact
+
+    def noted(runs):
+        compact(runs)
+        made.append([len(level) for level in runs.levels])
+
+    monkeypatch.setattr(line_dedup.Runs, "compact", noted)
+    docs = spark.createDataFrame([(i, f"line number {i % 7} of the text") for i in range(100)], "doc_id bigint, text string")
+    assert line_dedup.drop_lines(docs).filter("n_dropped = 0").count() == 7
+    assert made[-1] == [1, 1]  # a merged run above level 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_hot_lines_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 20)
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 2)
+    rng = random.Random(5)
+    pool = [sentence(rng, VOCAB, 6) for _ in range(12)]
+    texts = [(i, "\n".join([pool[0], *rng.sample(pool, 3)])) for i in range(90)] + [(90 + i, pool[i]) for i in range(5)]
+    docs, rows = odd_docs(spark, texts)
+    assert lines_of(spark, docs) == sorted(line_dedup.brute_force(rows), key=repr)
+
+
+def test_runs_are_opened_again_by_a_later_job(spark, tmp_path):
+    rng = random.Random(6)
+    pool = [sentence(rng, VOCAB, 5) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(4))) for i in range(90)]
+    folder, got = str(tmp_path / "runs"), []
+    runs = line_dedup.Runs(spark, folder=folder)
+    for n in range(3):
+        docs = spark.createDataFrame(rows[30 * n:30 * n + 30], "doc_id bigint, text string")
+        got += lines_of(spark, docs, batches=2, runs=runs)
+        runs.save(f"{folder}/list-{n}")
+        runs.close()
+        runs = line_dedup.Runs.reopen(spark, folder, f"{folder}/list-{n}")
+    assert sum(map(len, runs.levels)) < 6 and len(runs.levels) > 1
+    runs.close()
+    assert sorted(got, key=repr) == sorted(line_dedup.brute_force(rows), key=repr)
 
 
 def test_components(spark):
