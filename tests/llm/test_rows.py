@@ -91,7 +91,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 def test_pipeline_stages(spark):
