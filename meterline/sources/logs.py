@@ -32,7 +32,7 @@ def discover(spark: SparkSession, globs) -> DataFrame:
     return found.distinct()
 
 
-def _since(spark: SparkSession, modified_after: str | None):
+def since(spark: SparkSession, modified_after: str | None):
     """A reader that passes over files not changed after the stamp (UTC, to the second)."""
     return spark.read.option("modifiedAfter", modified_after) if modified_after else spark.read
 
@@ -46,7 +46,7 @@ def read_lines(spark: SparkSession, globs, modified_after: str | None = None) ->
     frames = []
     for glob in expand(globs):
         try:
-            frames.append(_since(spark, modified_after).text(glob).select(
+            frames.append(since(spark, modified_after).text(glob).select(
                 F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("line"), "value"))
@@ -60,12 +60,18 @@ def read_lines(spark: SparkSession, globs, modified_after: str | None = None) ->
     return out
 
 
-def read_documents(spark: SparkSession, globs, modified_after: str | None = None) -> DataFrame:
-    """One row per file, the whole document in ``value``."""
+def read_documents(spark: SparkSession, globs, modified_after: str | None = None,
+                   up_to: int | None = None, packed: str = "$^") -> DataFrame:
+    """One row per file, the whole document in ``value``.
+
+    With ``up_to`` only files of at most so many bytes, and those whose name matches ``packed``.
+    """
+    fits = F.lit(True) if up_to is None else (
+        (F.col("_metadata.file_size") <= up_to) | F.lower("_metadata.file_path").rlike(packed))
     frames = []
     for glob in expand(globs):
         try:
-            frames.append(_since(spark, modified_after).text(glob, wholetext=True).select(
+            frames.append(since(spark, modified_after).text(glob, wholetext=True).filter(fits).select(
                 F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"),
                 F.lit(0).cast("long").alias("line"), "value"))
         except AnalysisException:

@@ -19,6 +19,7 @@ from meterline.operators.attribution import Topology, session_id, workspace
 from meterline.operators.scan import Scan, running
 from meterline.schema import COUNTERS, conform
 from meterline.sources import logs as L
+from meterline.sources.elements import read_elements
 
 # The counters that make a record a priced turn.
 PRICED_BY = ("input", "output", "cache_create", "cache_read")
@@ -41,6 +42,9 @@ class SpecSource:
     def load(self, spark: SparkSession, modified_after: str | None = None) -> DataFrame:
         """Turns of every file behind the spec's roots, or of those changed since."""
         roots = self.spec.get("roots", [])
+        if self.spec.get("format") == "json" and self.spec.get("records"):
+            recs = read_elements(spark, roots, self.spec["records"], modified_after)
+            return self.of_records(recs, L.split_chunk(spark, roots))
         if self.spec.get("format") == "json":
             return self.turns(L.read_documents(spark, roots, modified_after))
         return self.turns(L.read_lines(spark, roots, modified_after), L.split_chunk(spark, roots))
@@ -51,7 +55,11 @@ class SpecSource:
             recs = L.array_records(lines, self.spec.get("records"))
         else:
             recs = L.records(lines)
-        return self.numbered(self._shape(recs.filter(self.is_turn()), lines), chunk=chunk)[0]
+        return self.of_records(recs, chunk)
+
+    def of_records(self, recs: DataFrame, chunk: str | None = None) -> DataFrame:
+        """Parsed records -> turn events."""
+        return self.numbered(self._shape(recs.filter(self.is_turn()), recs), chunk=chunk)[0]
 
     def parsed(self, lines: DataFrame) -> DataFrame:
         """Lines of a JSONL log -> its turns without their numbers."""

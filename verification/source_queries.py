@@ -10,6 +10,7 @@ from meterline.schema import event_key
 from meterline.sources import logs as L
 from meterline.sources import native as N
 from meterline.sources import store as S
+from meterline.sources.elements import read_elements
 from meterline.sources.registry import LogSource
 from meterline.sources.resume import GrowingLogs
 from meterline.sources.spec import SpecSource
@@ -178,6 +179,32 @@ def s04(spark, sf):
     return SpecSource(spec, TOPOLOGY).turns(docs).select("session", "turn", "output", "ts_raw")
 
 
+DOCS = 4  # long documents, each with the messages of every fourth conversation
+
+
+@query("s04_split_documents", f"""
+SELECT CAST(conv_id % {DOCS} AS VARCHAR) AS session, CAST(row_number() OVER (
+  PARTITION BY conv_id % {DOCS} ORDER BY conv_id, c.turn) AS INTEGER) AS turn, length(text) AS output,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 100 + c.turn), '%Y-%m-%dT%H:%M:%S.%gZ') AS ts_raw
+FROM conversations c WHERE role = 'assistant' AND length(text) > 0""")
+def s04_split(spark, sf):
+    """Documents with one long list each, cut into pieces of 16 kB that are read on their own."""
+    c = table(spark, sf, "conversations")
+    text = F.to_json(F.struct("role", "text", *[_doc()[k].alias(k) for k in ("at", "chars", "model")]))
+    place = [(F.col("conv_id") % DOCS).alias("line"), F.lit(1).alias("part"), "conv_id", "turn"]
+    rows = c.select(*place, F.concat(F.lit(", "), text).alias("value"))
+    ends = spark.range(DOCS).select(F.col("id").alias("line"), F.explode(F.create_map(
+        F.lit(0), F.lit('{"task": {"notes": ["}", {"messages": []}], "messages": [null'),
+        F.lit(2), F.lit("]}}"))).alias("part", "value"))
+    path = scratch_path(spark, "documents")
+    rows.unionByName(ends, allowMissingColumns=True).repartition(DOCS, "line").sortWithinPartitions(
+        "line", "part", "conv_id", "turn").select(F.col("line").alias("doc"), "value") \
+        .write.partitionBy("doc").text(path)
+    recs = read_elements(spark, f"{path}/*/part-*", "task.messages", longer_than=0, piece=16 << 10)
+    spec = {**DOC_SPEC, "records": "task.messages", "from_path": {"session": ["/doc=([0-9]+)/"]}}
+    return SpecSource(spec, TOPOLOGY).of_records(recs, "block").select("session", "turn", "output", "ts_raw")
+
+
 @query("s05_quarantine", """
 SELECT CASE WHEN event_id % 6 = 0 THEN 'broken' ELSE 'kept' END AS state, count(*) AS n,
   CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 6 <> 1 GROUP BY 1""")
