@@ -8,11 +8,15 @@ table can be searched for any number of test sets.
 A search first sums how often each test term stands in the corpus. In every block it then
 takes a window's rarest term, shifts its postings by the term's offset, and intersects them
 with the shifted postings of the next rarest term and so on, for all windows at once in
-numpy. Proximity matches are places where the rarest terms of an item all stand within
-``slop`` words of the rarest one, in whatever order.
+numpy. Proximity matches are places where the rarest terms of a stretch of an item, ``slop``
+words of it, all stand within ``slop`` words of the rarest one, in whatever order. Stretches
+follow one another and the last one ends with the item, so an item of any length is near its
+verbatim copies; equally rare terms go by their bytes.
 
-A test set of more than ``CHUNK_WORDS`` words is searched in as many parts, each of which is
-small enough to be sent to the tasks; the hit spans of the parts are merged per document.
+A test set of more than ``CHUNK_WORDS`` words is searched in parts of at most twice as many, each
+of which is small enough to be sent to the tasks; the hit spans of the parts are merged per
+document. A longer item is cut into rows that share all but one of a window's words; sixteen
+bytes count as a word at least.
 
 Defined results. Words: A-Z lower-cased, runs of digits, letters and non-ASCII. A window is
 ``window`` consecutive words of an item; a shorter item is one window; an item or document
@@ -35,12 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterline.cluster import scratch_path
-from meterline.llm.texts import fresh, over_batches, texts_of, word_hashes, words
+from meterline.llm.texts import NOT_WORD, fresh, over_batches, texts_of, word_hashes, words
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 19
 CHUNK_WORDS = 200_000
 NEAR_TERMS, SLOP = 5, 20
+WORDS = "[^" + NOT_WORD[1:-2] + "]+"
 # Candidate places handled at once inside a block.
 PLACES = 1 << 20
 
@@ -153,24 +158,35 @@ class _Lists:
 class Tests:
     """Windows of a part of the test set: rows of ``grid`` are term numbers, -1 past the end.
 
-    ``order`` has each row's offsets from the rarest term on; ``rare`` the rarest distinct
-    terms of each item.
+    ``order`` has each row's offsets from the rarest term on; ``stretches`` the distinct terms of
+    each stretch and ``stretch_of`` its item, ``rare`` the rarest of these terms; ``spelled`` the
+    terms' rank by their bytes.
     """
 
     items: list
     vocabulary: np.ndarray
     grid: np.ndarray
     item: np.ndarray
+    stretches: list
+    stretch_of: np.ndarray
+    spelled: np.ndarray
     order: np.ndarray | None = None
     rare: np.ndarray | None = None
 
 
-def _tests(rows: list, window: int) -> Tests:
-    grids, owner, items, hashes = [], [], [], []
+def _tests(rows: list, window: int, slop: int) -> Tests:
+    grids, owner, items, hashes, names = [], [], [], [], {}
+    stretches, stretch_of = [], []
     for item_id, text in rows:
-        h = word_hashes(words((text or "").encode()))
+        found = words((text or "").encode())
+        h = word_hashes(found)
         if not len(h):
             continue
+        names.update(zip(h.tolist(), found))
+        last = max(0, len(h) - slop)
+        for first in sorted({*range(0, last + 1, max(1, slop)), last}):
+            stretches.append(np.unique(h[first:first + max(1, slop)]))
+            stretch_of.append(len(items))
         n = min(window, len(h))
         grid = np.zeros((len(h) - n + 1, window), np.uint64)
         mask = np.zeros(grid.shape, bool)
@@ -181,21 +197,23 @@ def _tests(rows: list, window: int) -> Tests:
         items.append(item_id)
         hashes.append(h)
     if not items:
-        return Tests([], np.zeros(0, np.uint64), np.zeros((0, window), np.int64), np.zeros(0, np.int64))
+        return Tests([], np.zeros(0, np.uint64), np.zeros((0, window), np.int64), np.zeros(0, np.int64),
+                     [], np.zeros(0, np.int64), np.zeros(0, np.int64))
     vocabulary = np.unique(np.concatenate(hashes))
+    rank = {w: k for k, w in enumerate(sorted(names.values()))}
+    spelled = np.array([rank[names[v]] for v in vocabulary.tolist()])
     grid = np.concatenate([np.where(m, np.searchsorted(vocabulary, g), -1) for g, m in grids])
-    return Tests(items, vocabulary, grid, np.array(owner))
+    stretches = [np.searchsorted(vocabulary, x) for x in stretches]
+    return Tests(items, vocabulary, grid, np.array(owner), stretches, np.array(stretch_of), spelled)
 
 
 def _by_rarity(tests: Tests, counts: dict[int, int], near_terms: int) -> None:
     count = np.array([counts.get(int(v), 0) for v in tests.vocabulary.view(np.int64)] + [1 << 62])
     tests.order = np.argsort(count[tests.grid], axis=1, kind="stable")
-    rare = np.full((len(tests.items), near_terms), -1)
-    for i in range(len(tests.items)):
-        mine = np.unique(tests.grid[tests.item == i])
-        mine = mine[mine >= 0]
+    rare = np.full((len(tests.stretches), near_terms), -1)
+    for i, mine in enumerate(tests.stretches):
         if len(mine) >= near_terms:
-            rare[i] = mine[np.argsort(count[mine], kind="stable")[:near_terms]]
+            rare[i] = mine[np.lexsort((tests.spelled[mine], count[mine]))[:near_terms]]
     tests.rare = rare
 
 
@@ -242,7 +260,7 @@ def _exact(lists: _Lists, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near(lists: _Lists, tests: Tests, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document of the block, item) with the item's rarest terms close together."""
+    """(document of the block, item) with the rarest terms of a stretch of it close together."""
     known = np.append(lists.find(tests.vocabulary), -1)
     rows = np.flatnonzero((known[tests.rare] >= 0).all(axis=1) & (tests.rare[:, 0] >= 0))
     if not len(rows):
@@ -252,7 +270,7 @@ def _near(lists: _Lists, tests: Tests, slop: int) -> tuple[np.ndarray, np.ndarra
     for k in range(1, tests.rare.shape[1]):
         ok = lists.near(known[tests.rare[row, k]], place, slop)
         row, place = row[ok], place[ok]
-    return lists.doc(place), row
+    return lists.doc(place), tests.stretch_of[row]
 
 
 def _search_block(lists: _Lists, sizes: np.ndarray, tests: Tests, slop: int) -> tuple:
@@ -305,6 +323,29 @@ def _search_part(index: DataFrame, tests: Tests, slop: int, item_type: T.DataTyp
     return over_batches(index, run, schema)
 
 
+def _parts(tests: DataFrame, window: int, chunk_words: int) -> tuple[DataFrame, int, Column]:
+    """The items' distinct rows (item_id, text), how many parts they make, and the part of a row."""
+    rows = tests.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    long = F.regexp_count("text", F.lit(WORDS)) > chunk_words
+    found = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(found) - window), F.lit(chunk_words))
+    cut = rows.filter(long).select("item_id", F.posexplode(F.transform(starts, lambda a: F.array_join(
+        F.slice(found, a + 1, F.lit(chunk_words + window - 1)), " "))).alias("cut", "text"))
+    whole = rows.filter(~long).select("item_id", F.lit(0).alias("cut"), "text")
+    size = F.greatest(F.regexp_count("text", F.lit(WORDS)), F.octet_length("text") / 16).cast("bigint")
+    path = scratch_path(tests.sparkSession, "items")
+    whole.unionByName(cut).withColumn("size", size).write.parquet(path)
+    rows = tests.sparkSession.read.parquet(path)
+    parts = -(-int(rows.agg(F.sum("size").alias("n")).first()["n"] or 1) // chunk_words)
+    while True:
+        place = F.lit(0) if parts == 1 else F.pmod(F.xxhash64("item_id", "cut", "text"), F.lit(parts))
+        over = rows.groupBy(place.alias("part")).agg(F.sum("size").alias("n"), F.count("*").alias("rows")).filter(
+            (F.col("n") > 2 * chunk_words) & (F.col("rows") > 1))
+        if parts == 1 or over.isEmpty():
+            return rows, parts, place
+        parts *= 2
+
+
 def search(index: DataFrame, tests: DataFrame, window: int = WINDOW, slop: int = SLOP,
            near_terms: int = NEAR_TERMS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Per indexed document: doc_id, n_words, n_hit, spans, items, near.
@@ -312,13 +353,11 @@ def search(index: DataFrame, tests: DataFrame, window: int = WINDOW, slop: int =
     ``spans`` are the stretches of words inside any occurrence of a window, ``items`` the
     item_ids that have one, ``near`` those with a proximity match.
     """
-    rows = tests.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    size = F.size(F.split("text", r"\s+"))
-    parts = -(-int(rows.agg(F.sum(size).alias("n")).first()["n"] or 1) // chunk_words)
+    rows, parts, place = _parts(tests, window, chunk_words)
     found = []
     for k in range(parts):
-        part = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        made = _tests([tuple(r) for r in part.collect()], window)  # about chunk_words words
+        part = rows.filter(place == k).select("item_id", "text")
+        made = _tests([tuple(r) for r in part.collect()], window, slop)  # at most 2 * chunk_words words
         _by_rarity(made, _term_counts(index, made.vocabulary) if made.items else {}, near_terms)
         found.append(_search_part(index, made, slop, rows.schema["item_id"].dataType))
     out = found[0]

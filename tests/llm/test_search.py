@@ -54,16 +54,34 @@ def test_spans_and_nearby_terms(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = spark.createDataFrame([
         (1, "so " + item + " end"), (2, "kappa so alpha the beta of gamma a delta epsilon"),
-        (3, "alpha " + "filler " * 30 + "beta gamma delta epsilon"), (4, None)], "doc_id bigint, text string")
+        (3, "alpha " + "filler " * 30 + "beta gamma delta epsilon"), (4, None),
+        (6, "kappa a iota b theta c eta d zeta e epsilon delta gamma beta alpha")], "doc_id bigint, text string")
     tests = spark.createDataFrame([(5, item)], "item_id bigint, text string")
     got = {r["doc_id"]: r for r in decontaminate.search(decontaminate.build_index(docs), tests).collect()}
     assert [tuple(s) for s in got[1]["spans"]] == [(1, 10)] and got[1]["items"] == [5]
     assert got[2]["items"] == [] and got[2]["n_hit"] == 0
     near = {d: r["near"] for d, r in got.items()}
-    assert near[1] == [5] and near[4] == []
+    assert near == {1: [5], 2: [], 3: [], 4: [], 6: [5]}
+    assert got[6]["n_hit"] == 0
     assert got[4]["n_words"] == 0
 
 
+def test_long_items_are_near_their_copies(spark):
+    """An item of 500 words, in one part and in many; rows of an item that share all but one word of a window."""
+    item = " ".join(f"w{i % 170}x{i}" for i in range(500))
+    shuffled = " ".join(reversed(item.split()[240:280]))
+    apart = " pad pad pad ".join(item.split()[::20])
+    docs = spark.createDataFrame([(1, "so " + item), (2, shuffled), (3, apart), (4, item.replace(" ", "-"))],
+                                 "doc_id bigint, text string")
+    tests = spark.createDataFrame([(7, item), (7, item), (8, None), (9, "...")], "item_id bigint, text string")
+    index = decontaminate.build_index(docs)
+    for chunk in (200_000, 240):
+        got = {r["doc_id"]: r for r in decontaminate.search(index, tests, chunk_words=chunk).collect()}
+        assert {d: r["near"] for d, r in got.items() if d != 3} == {1: [7], 2: [7], 4: [7]}
+        assert got[3]["near"] == []
+        assert {d: r["n_hit"] for d, r in got.items()} == {1: 500, 2: 0, 3: 0, 4: 500}
+
+
 def test_clean_documents_keep_their_columns(spark):
     docs, rows, tests, items = planted(spark)
     kept = decontaminate.clean_of(docs, tests)
