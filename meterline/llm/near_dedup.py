@@ -153,9 +153,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             .filter(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"))
 
 
-def _sets_of(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(v, shingles) of every vertex in a pair, read again from the texts."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+def _sets_of(buckets: DataFrame, vertices: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(v, shingles) of every vertex in a bucket, hubs included, read again from the texts."""
+    asked = buckets.select("v").distinct()
     asked = write_and_read(vertices.join(asked, "v", "left_semi").select("v", "tid"), "asked")
     wanted = asked.select("tid")
     if is_small(asked):
@@ -257,7 +257,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     # One hub of each vertex, the smallest, links most of a class. Its other hubs are asked only
     # where they still lie in another component.
     first = write_and_read(buckets.filter("v <> hub").groupBy(F.col("v").alias("a")).agg(F.min("hub").alias("b")), "pairs")
-    sets = _sets_of(first, vertices, docs, size)  # of every vertex that shares a bucket
+    # A vertex may be the hub of some buckets only, and the smallest hub of none of their members.
+    sets = _sets_of(buckets, vertices, docs, size)
     roots = write_and_read(components(write_and_read(_verified(first, sets, similarity), "links")), "roots")
     roots = _joined(roots, _verified(_across(buckets, roots), sets, similarity))
     roots = _joined(roots, _verified(_rest(buckets, roots, vertices, sets, bands, similarity), sets, similarity))

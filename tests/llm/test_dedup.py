@@ -171,3 +171,14 @@ def test_near_copies_with_often_repeated_lines_match_all_pairs(spark):
     want = classes(texts)
     assert len(set(want)) == 120
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_hub_of_no_other_first_pair_keeps_its_links(spark):
+    """The middle of three is alike to both others, which are hardly alike: often they share no bucket."""
+    rng, texts = random.Random(8), []
+    for i in range(400):
+        middle = [f"w{i}x{rng.randrange(10**6)}" for _ in range(200)]
+        texts += [(3 * i, " ".join(middle[38:])), (3 * i + 1, " ".join(middle)), (3 * i + 2, " ".join(middle[:-38]))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(7)
+    found = near_dedup.classes(docs).groupBy("class_id").count().collect()
+    assert sorted(map(tuple, found)) == [(3 * i, 3) for i in range(400)]
