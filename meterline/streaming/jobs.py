@@ -7,12 +7,13 @@ until the available input is used up and leaves its progress in a checkpoint.
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterline.cluster import write_and_read
+from meterline.cluster import small_table, write_and_read
 from meterline.sources import tail
 from meterline.sources.resume import GrowingLogs
 from meterline.sources.store import (UNDATED, _exists, append, first_copies, month_of, reconcile_months)
@@ -105,13 +106,83 @@ def hourly(turns: DataFrame, by: list[str], late: str = LATE_ROLLUP) -> DataFram
             .select(F.col("window.start").alias("start"), *by, "turns", "output"))
 
 
-def rolling_quota(turns: DataFrame, by: str, hours: int = 5, slide: str = "15 minutes",
-                  late: str = LATE_ROLLUP) -> DataFrame:
-    """Turns of each party in overlapping windows, for quota alerts."""
-    return (turns.withWatermark("ts", late)
-            .groupBy(F.window("ts", f"{hours} hours", slide), by)
-            .agg(F.count("*").alias("used"))
-            .select(F.col("window.end").alias("as_of"), by, "used"))
+def rolling_quota(turns: DataFrame, by: str, path: str, checkpoint: str, hours: int = 5,
+                  slide: str = "15 minutes", late: str = LATE_ROLLUP) -> None:
+    """Turns of each party in overlapping windows, for quota alerts; ``quota_rows`` reads them.
+
+    A window is a run of slots. A batch is combined to slots (party, slot), which are stored;
+    the windows that the batch closes are then summed from the slots they cover, so a turn is
+    held once and not once per window. A window is written when the newest stamp is ``late``
+    beyond its end; a turn that is later than that still counts in the windows that are open.
+    A party's slots meet in one task, where its windows are made: only slots are shuffled. A
+    batch that is run again finds what was there before it.
+    """
+    def micros(length: str) -> int:
+        return turns.sparkSession.range(1).select(F.expr(
+            f"unix_micros(timestamp_seconds(0) + interval {length})")).first()[0]
+
+    step, delay, span = micros(slide), micros(late), micros(f"{hours} hours")
+    if step > span:
+        raise ValueError("windows must not leave gaps")
+    width = math.gcd(step, span)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        older = _closed(spark, path, batch_id)
+        before = older[max(older)][0] if older else None
+        at = F.unix_micros("ts")
+        (batch.filter("ts is not null").groupBy((F.floor(at / width) * width + width).alias("slot"), by)
+         .agg(F.count("*").alias("used"), F.max(at).alias("newest"))
+         .write.mode("overwrite").parquet(f"{path}/slots/batch={batch_id}"))
+        kind = T.StructType([T.StructField("slot", T.LongType()), batch.schema[by],
+                             T.StructField("used", T.LongType()), T.StructField("newest", T.LongType())])
+        last, top = spark.read.schema(kind).parquet(f"{path}/slots/batch={batch_id}").agg(
+            F.max("newest"), F.max("slot")).first()
+        # As a watermark, the limit of closed windows is kept in whole milliseconds.
+        limits = [before, None if last is None else last // 1000 * 1000 - delay]
+        now = max((n for n in limits if n is not None), default=None)
+        if now != before or not _exists(spark, f"{path}/windows"):
+            slots = spark.read.schema(kind.add("batch", "long")).parquet(f"{path}/slots")
+            held = slots.filter((F.col("batch") <= batch_id) & (F.col("slot") <= F.lit(now).cast("long")))
+            first = F.ceil((F.col("slot") - span) / step) * step + span
+            ends = F.sequence(first, F.col("slot") - width + span, F.lit(step).cast("long"))
+            open_ = F.col("as_of") <= F.lit(now).cast("long")
+            if before is not None:
+                held, open_ = held.filter(F.col("slot") > before - span), open_ & (F.col("as_of") > before)
+            # Partitioned by party alone, the sums need no shuffle of their own.
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            windows = (held.select("slot", by, "used").repartition(parts, by)
+                       .select(F.explode(ends).alias("as_of"), by, "used").filter(open_)
+                       .groupBy("as_of", by).agg(F.sum("used").alias("used")))
+            windows.select(F.timestamp_micros("as_of").alias("as_of"), by, "used").write.mode("overwrite") \
+                .parquet(f"{path}/windows/batch={batch_id}")
+        small_table(spark, [(now, top)], "closed bigint, top bigint").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}/closed/batch={batch_id}")
+        for n, (_, top) in older.items():  # slots that no open window covers; the newest limit stays
+            if before is not None and n != max(older) and (top is None or top <= before - span):
+                _remove(spark, f"{path}/slots/batch={n}")
+                _remove(spark, f"{path}/closed/batch={n}")
+
+    _finish(turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def _closed(spark: SparkSession, path: str, batch: int) -> dict[int, tuple]:
+    """For every earlier batch: up to when windows are closed, and its newest slot."""
+    if not any(int(n) < batch for n in _folders(spark, f"{path}/closed", "batch=")):
+        return {}
+    rows = spark.read.schema("closed bigint, top bigint, batch bigint").parquet(f"{path}/closed")
+    return {r["batch"]: (r["closed"], r["top"]) for r in rows.filter(F.col("batch") < batch).collect()}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def quota_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The windows that ``rolling_quota`` has written."""
+    return spark.read.parquet(f"{path}/windows")
 
 
 def session_rollup(turns: DataFrame, gap: str | None = None, by: str | None = None,

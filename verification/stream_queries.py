@@ -135,8 +135,8 @@ SELECT as_of, person, count(*) AS used FROM e GROUP BY 1, 2
 HAVING as_of <= (SELECT date_trunc('millisecond', max(ts)) FROM turns) - INTERVAL 2 HOUR"""))
 def x05(spark, sf):
     out, mark = scratch_path(spark, "quota"), scratch_path(spark, "mark")
-    J.append_to(J.rolling_quota(stream(spark, sf), "person"), out, mark)
-    return spark.read.parquet(out)
+    J.rolling_quota(stream(spark, sf), "person", out, mark)
+    return J.quota_rows(spark, out).select("as_of", "person", "used")
 
 
 @query("x06_session_rollup", with_turns("""
