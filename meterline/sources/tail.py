@@ -32,6 +32,7 @@ from meterline.sources.logs import LINE_SCHEMA, discover
 
 SCHEMA = LINE_SCHEMA + ", fresh boolean"
 RANGE = 64 << 20          # bytes that one task reads
+TASKS = 512               # beyond so many tasks one takes several ranges, up to RANGE bytes
 READ = 1 << 20            # bytes of one read, and about those of one Arrow batch
 PROBE = 1024              # bytes at either end of what was read that tell a replaced file
 
@@ -113,6 +114,24 @@ def tasks_of(files: list[tuple], size: int = RANGE) -> list[Ranges]:
     return [*out, Ranges(held)] if held else out
 
 
+def gathered(tasks: list[Ranges], most: int = TASKS, size: int = RANGE) -> list[Ranges]:
+    """Neighbouring tasks put together where there are more than ``most``; the ranges stay as cut.
+
+    A start of a worker and an output file for every few kilobytes cost more than their lines.
+    """
+    lengths = [sum(r[3] - r[2] for r in t.ranges) for t in tasks]
+    limit = min(size, -(-sum(lengths) // most)) if len(tasks) > most else 0
+    out, held = [], 0
+    for task, length in zip(tasks, lengths):
+        if out and held + length <= limit:
+            out[-1] = Ranges([*out[-1].ranges, *task.ranges])
+            held += length
+        else:
+            out.append(task)
+            held = length
+    return out
+
+
 class LogRanges(DataSource):
     """``ranges`` (batch) is a JSON list of [file, path, start, end, fresh]; ``path`` (stream) globs."""
 
@@ -136,7 +155,7 @@ class _Batch(DataSourceReader):
         self.size = int(options.get("bytes", RANGE))
 
     def partitions(self) -> list[Ranges]:
-        return tasks_of(self.files, self.size) or [Ranges([])]
+        return gathered(tasks_of(self.files, self.size)) or [Ranges([])]
 
     def read(self, partition: Ranges):
         for r in partition.ranges:
@@ -160,7 +179,7 @@ class _Stream(DataSourceStreamReader):
             seen = start.get(path, 0)
             seen = seen if size >= seen else 0
             grown.append((path, path, seen, size, seen == 0))
-        return tasks_of(grown, self.size)
+        return gathered(tasks_of(grown, self.size))
 
     def read(self, partition: Ranges):
         for r in partition.ranges:

@@ -52,6 +52,16 @@ def test_tasks_cut_long_files_and_gather_short_ones():
     assert len(tasks) == 4 and tail.tasks_of([], 100) == []
 
 
+def test_many_short_ranges_share_a_task():
+    cut = tail.tasks_of([("a", "a", 0, 10_000, True), ("b", "b", 7, 2_000, False)], 3)
+    tasks = tail.gathered(cut, most=20)
+    assert len(cut) > 3_000 and len(tasks) <= 21
+    assert [r for t in tasks for r in t.ranges] == [r for t in cut for r in t.ranges]
+    assert tail.gathered(cut, most=20, size=3) == cut and tail.gathered(cut[:20], most=20) == cut[:20]
+    reader = tail._Batch({"ranges": json.dumps([["a", "a", 0, 100 * tail.TASKS, True]]), "bytes": "10"})
+    assert len(reader.partitions()) <= tail.TASKS
+
+
 def total(i, n):
     return {"type": "event_msg", "timestamp": f"2026-03-0{1 + i // 60}T01:{i % 60:02d}:00Z", "payload": {
         "type": "token_count", "info": {"total_token_usage": {"input_tokens": n, "cached_input_tokens": 0, "output_tokens": n}}}}
