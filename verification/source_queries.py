@@ -112,8 +112,9 @@ SELECT 'users/u=' || user_id AS folder, 1 AS found FROM events GROUP BY user_id"
 def s01(spark, sf):
     """Files of a written store found by glob, without reading them."""
     root = scratch_path(spark, "logs")
+    # One file a user, written by many tasks.
     events(spark, sf).withColumn("u", F.col("user_id")).select("iso", "u") \
-        .write.partitionBy("u").text(f"{root}/users")
+        .repartition(8 * spark.sparkContext.defaultParallelism, "u").write.partitionBy("u").text(f"{root}/users")
     found = L.discover(spark, f"{root}/users/*/*.txt")
     return found.groupBy(F.regexp_extract("file", "(users/u=[0-9]+)/", 1).alias("folder")) \
         .agg(F.lit(1).alias("found"))
