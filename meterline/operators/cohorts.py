@@ -43,7 +43,8 @@ def person_days(priced: DataFrame, auid: str = "auid") -> DataFrame:
 
     Turns are combined once to (person, day, session, hour, labels) and stored; everything
     else is summed from there, so the lists collected at the end hold one entry per model,
-    tool or label. Turns without a person or a stamp belong to no day of anybody.
+    tool or label. Turns without a person or a stamp belong to no day of anybody. The days
+    are stored as well: whoever reads them several times does not sum them again.
     """
     kind = F.when(F.col("sidechain"), "sub").otherwise("main")
     dims = {"by_model": breakdown_label("model"), "by_effort": breakdown_label("effort"),
@@ -93,8 +94,8 @@ def person_days(priced: DataFrame, auid: str = "auid") -> DataFrame:
     facts = flat.join(spans, keys).join(by_dim, keys).join(tools, keys, "left")
     facts = facts.withColumnRenamed("_day", "date").withColumn(
         "by_tool", F.coalesce("by_tool", F.create_map().cast("map<string,bigint>")))
-    return facts.withColumn("row_id", F.concat_ws(".", auid, "date")).withColumn(
-        "fingerprint", fingerprint())
+    return write_and_read(facts.withColumn("row_id", F.concat_ws(".", auid, "date")).withColumn(
+        "fingerprint", fingerprint()), "facts")
 
 
 def fingerprint() -> Column:

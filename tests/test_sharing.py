@@ -78,3 +78,16 @@ def test_percent_rank_with_one_value_held_by_most(spark):
     want = df.select("person", F.percent_rank().over(W.partitionBy("metric").orderBy("value")))
     got = K.ranked(df, chunk_rows=20).select("person", "percent_rank")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_person_days_are_summed_once(spark, tmp_path):
+    """Whoever reads the facts again reads the stored rows: no sum is made twice."""
+    from verification.privacy_queries import facts
+    spark.range(300).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 1800).alias("ts"),
+        (F.col("id") % 5).alias("user_id"), F.element_at(F.array(F.lit("view"), F.lit("signup")), (F.col("id") % 2 + 1).cast("int"))
+        .alias("event_type"), F.format_string('{"k": %d}', F.col("id") % 40).alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    found = facts(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert found.agg(F.sum("turns")).first()[0] == 300 and found.count() == 5 * 7
