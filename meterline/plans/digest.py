@@ -7,9 +7,11 @@ the stored table instead.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from meterline.cluster import write_and_read
@@ -18,6 +20,8 @@ from meterline.operators import rollups as R
 from meterline.operators.attribution import Topology
 from meterline.operators.pricing import RateTables, peak_premium, unpriced_models
 
+WRITERS = 4  # reports written at a time
+
 
 @dataclass
 class Digest:
@@ -125,6 +129,12 @@ class Digest:
         return out
 
     def write(self, path: str, fmt: str = "parquet") -> None:
-        """Digest sink: one folder per report."""
-        for name, frame in self.frames().items():
+        """Digest sink: one folder per report; a few are written at a time, so that the last tasks
+        of one leave no core idle. The first error is raised when the others have ended."""
+        def put(report: tuple[str, DataFrame]) -> None:
+            name, frame = report
             frame.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{name}")
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            # Listed first: some reports run jobs of their own when they are built.
+            list(pool.map(inheritable_thread_target(self.priced.sparkSession)(put), list(self.frames().items())))
