@@ -13,10 +13,12 @@ are cut into bands; in each bucket every vertex is paired with one hub (not with
 pairs are verified on whole shingle sets, and verified links make components: first each vertex
 with the smallest of its hubs, then with those hubs that are still in another component (a pair
 within one component could not add anything). Where a bucket
-still holds several components, its outsiders are compared with the bucket block by block
-on finer sketches; only pairs that may reach the threshold leave a block - each from the
-first bucket that it shares - are verified, and join the components. No bucket is ever
-gathered whole and no partner is capped.
+still holds several components, its outsiders are compared with the bucket block by block:
+finer sketches name the pairs that may reach the threshold, each in the first bucket that it
+shares, and the whole shingle sets beside them verify it there. A pair whose components the
+block has linked already could not add anything, so a block returns fewer links than it has
+vertices, and these join the components. No bucket is ever gathered whole and no partner is
+capped.
 
 Defined results. Words: A-Z lower-cased runs of digits, letters and non-ASCII. A text of
 fewer words than a shingle has one shingle, all its words. A text without words (null,
@@ -50,6 +52,7 @@ BANDS = SLOTS // BAND_ROWS
 # many standard deviations an estimate may lie below the threshold before a pair is dropped.
 FINE, DEVIATIONS = 1024, 4
 OUTSIDERS, MEMBERS = 128, 1024  # rows of the two sides of a block
+SIDE = 4 << 20  # shingles of a side, where the texts are so long that it has fewer rows
 
 
 def shingles(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -167,14 +170,15 @@ def _sets_of(buckets: DataFrame, vertices: DataFrame, docs: DataFrame, size: int
 
 
 def _fine(sets: DataFrame) -> DataFrame:
-    """(v, fine): a sketch of the plain set in ``FINE`` bytes."""
+    """(v, fine, own): a sketch of the plain set in ``FINE`` bytes, and the set as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [(np.array(s, np.int64).view(np.uint64), np.ones(len(s))) for s in batch.column(1).to_pylist()]
             drawn = (mix(signatures(every, FINE)) >> np.uint64(56)).astype(np.uint8) if every else ()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in drawn], pa.binary())],
-                                             names=["v", "fine"])
-    return over_batches(sets.select("v", "shingles"), run, "v bigint, fine binary")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in drawn], pa.binary()),
+                                              pa.array([s.tobytes() for s, _ in every], pa.binary())],
+                                             names=["v", "fine", "own"])
+    return over_batches(sets.select("v", "shingles"), run, "v bigint, fine binary, own binary")
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -196,46 +200,71 @@ def _across(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _rest(buckets: DataFrame, roots: DataFrame, vertices: DataFrame, sets: DataFrame, bands: Column,
           similarity: float) -> DataFrame:
-    """Pairs across components of a bucket that may be similar, found block by block.
+    """Verified pairs that link the components of a bucket, found block by block.
 
     ``buckets`` has (bucket, v, hub, n) of buckets with several members.
     """
-    member = (buckets.filter("n > 2").join(roots, "v", "left")
-              .select("bucket", "hub", "n", "v", F.coalesce("root", "v").alias("root")))
+    sizes = sets.select("v", F.size("shingles").cast("bigint").alias("size"))
+    member = (buckets.filter("n > 2").join(roots, "v", "left").join(sizes, "v")
+              .select("bucket", "hub", "n", "v", F.coalesce("root", "v").alias("root"), "size"))
     hubs = roots.select(F.col("v").alias("hub"), F.col("root").alias("hub_root"))
     member = write_and_read(member.join(hubs, "hub", "left").withColumn(
         "out", F.col("root") != F.coalesce("hub_root", "hub")), "members")
-    counts = (member.groupBy("bucket").agg(F.count_if("out").alias("n_out")).filter("n_out > 0")
-              .select("bucket", F.ceil(F.col("n_out") / OUTSIDERS).cast("int").alias("blocks")))
+    out = F.when(F.col("out"), F.col("size"))
+    counts = (member.groupBy("bucket").agg(F.count(out).alias("n_out"), F.sum(out).alias("s_out"),
+                                            F.count("size").alias("n_all"), F.sum("size").alias("s"))
+              .filter("n_out > 0")
+              .select("bucket", F.ceil(F.greatest(F.col("n_out") / OUTSIDERS, F.col("s_out") / SIDE)).cast("int").alias("blocks"),
+                      F.ceil(F.greatest(F.col("n_all") / MEMBERS, F.col("s") / SIDE)).cast("int").alias("columns")))
     member = write_and_read(member.join(counts, "bucket"), "members")
     open_ = member.select("v").distinct()
     drawn = write_and_read(_fine(sets.join(open_, "v", "left_semi")).join(
         vertices.select("v", bands.alias("bands")), "v"), "fine")
     member = member.join(drawn, "v")
-    columns = F.ceil(F.col("n") / MEMBERS).cast("int")
     left = (member.filter("out").withColumn("o", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-            .withColumn("m", F.explode(F.sequence(F.lit(0), columns - 1))).withColumn("side", F.lit(0)))
-    right = (member.withColumn("m", F.pmod(F.xxhash64("v"), columns).cast("int"))
+            .withColumn("m", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("side", F.lit(0)))
+    right = (member.withColumn("m", F.pmod(F.xxhash64("v"), F.col("columns")).cast("int"))
              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1)))
     # One in 256 unlike slots agrees by chance.
     expected = similarity + (1 - similarity) / 256
     least = int(FINE * (expected - DEVIATIONS * (expected * (1 - expected) / FINE) ** 0.5))
 
+    def similar(one: np.ndarray, two: np.ndarray) -> bool:
+        few, many = sorted((len(one), len(two)))
+        if few / many < similarity:
+            return False
+        common = len(np.intersect1d(one, two, assume_unique=True))
+        return common / (few + many - common) >= similarity
+
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         a, b, found = block[block.side == 0], block[block.side == 1], []
         if len(a) and len(b):
             bucket, vs, roots_ = block.bucket.iat[0], b.v.to_numpy(), b.root.to_numpy()
             fine = np.frombuffer(b"".join(b.fine), np.uint8).reshape(len(b), -1)
             band, last = np.stack(b.bands.to_numpy()), np.iinfo(np.int64).max
-            for v, root, own, hashes in zip(a.v, a.root, a.fine, a.bands):
+            whole = [np.frombuffer(s, np.int64) for s in b.own]
+            linked: dict[int, int] = {}  # components that this block has linked to another
+
+            def top(root: int) -> int:
+                while root in linked:
+                    linked[root] = root = linked.get(linked[root], linked[root])
+                return root
+
+            for v, root, mine, sketched, hashes in zip(a.v, a.root, a.own, a.fine, a.bands):
                 near = np.flatnonzero(roots_ != root)
-                near = near[(fine[near] == np.frombuffer(own, np.uint8)).sum(axis=1) >= least]
-                # A pair leaves from the first bucket that both are in, and only there.
+                agree = (fine[near] == np.frombuffer(sketched, np.uint8)).sum(axis=1)
+                near = near[np.argsort(-agree, kind="stable")][:int((agree >= least).sum())]
+                # A pair is verified in the first bucket that both are in, and only there.
                 shared = np.where(np.isin(band[near], hashes), band[near], last).min(axis=1)
-                found += [(v, w) for w in vs[near[shared == bucket]]]
+                mine = np.frombuffer(mine, np.int64)
+                for at in near[shared == bucket]:
+                    one, two = top(root), top(roots_[at])
+                    if one != two and similar(mine, whole[at]):
+                        linked[one] = two
+                        found.append((v, vs[at]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    names = ["bucket", "o", "m", "side", "v", "root", "fine", "bands"]
+    names = ["bucket", "o", "m", "side", "v", "root", "fine", "own", "bands"]
     blocks = left.select(*names).unionByName(right.select(*names))
     return (blocks.groupBy("bucket", "o", "m").applyInPandas(compare, "a bigint, b bigint")
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -261,7 +290,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     sets = _sets_of(buckets, vertices, docs, size)
     roots = write_and_read(components(write_and_read(_verified(first, sets, similarity), "links")), "roots")
     roots = _joined(roots, _verified(_across(buckets, roots), sets, similarity))
-    roots = _joined(roots, _verified(_rest(buckets, roots, vertices, sets, bands, similarity), sets, similarity))
+    roots = _joined(roots, _rest(buckets, roots, vertices, sets, bands, similarity))
 
     named = (vertices.join(roots, "v", "left")
              .select("words", "doc_id", "n", F.coalesce("root", "v").alias("root")))

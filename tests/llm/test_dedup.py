@@ -182,3 +182,16 @@ def test_a_hub_of_no_other_first_pair_keeps_its_links(spark):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(7)
     found = near_dedup.classes(docs).groupBy("class_id").count().collect()
     assert sorted(map(tuple, found)) == [(3 * i, 3) for i in range(400)]
+
+
+def test_a_bucket_of_many_components_is_linked_by_few_pairs(spark):
+    # 40 sets with 79 or 80 of 81 shingles, each its own component, and one set a little too far from all.
+    sets = [(v, [s for s in range(81) if s != v]) for v in range(40)] + [(40, [*range(41, 81), *range(100, 124)])]
+    sets = spark.createDataFrame(sets, "v bigint, shingles array<bigint>")
+    vertices = sets.select("v")
+    buckets = vertices.select(F.lit(7).cast("bigint").alias("bucket"), "v", F.lit(0).cast("bigint").alias("hub"),
+                              F.lit(41).cast("bigint").alias("n"))
+    roots = spark.createDataFrame([], "v bigint, root bigint")
+    links = near_dedup._rest(buckets, roots, vertices, sets, F.array(F.lit(7).cast("bigint")), 0.8)
+    assert links.count() < 40
+    assert {(r["v"], r["root"]) for r in components.components(links).collect()} == {(v, 0) for v in range(40)}
