@@ -18,6 +18,9 @@ from meterline.cluster import is_small, write_and_read
 
 # Keys above this many rows are cut into chunks of about this size.
 CHUNK_ROWS = 2_000_000
+# The cuts are drawn from rows that reach the driver, some for every chunk: beyond so many
+# chunks they hold more rows instead.
+CHUNKS = 512
 
 
 @dataclass
@@ -137,7 +140,7 @@ def by_chunks(df: DataFrame, keys: list[str], order: list[str], run,
         same = df[k].eqNullSafe(hot[f"_h_{k}"])
         on = same if on is None else on & same
     mark = F.broadcast(hot) if is_small(hot, hot_rows[1]) else hot
-    pieces = max(2, -(-int(hot_rows[0]) // chunk_rows))
+    pieces = min(CHUNKS, max(2, -(-int(hot_rows[0]) // chunk_rows)))
     cut = (df.join(mark, on, "left_semi")
            .repartitionByRange(pieces, *keys, *order)
            .withColumn("_chunk", F.spark_partition_id()))

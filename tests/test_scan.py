@@ -131,3 +131,13 @@ def test_no_first_copy_is_lost_late(spark, tmp_path):
         rows.filter(keep).coalesce(1).write.mode("append").parquet(landing)
         once_only(watch_tables(spark, landing, rows.schema, 1), str(tmp_path / "out"), str(tmp_path / "mark"))
     assert sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(len(days)))
+
+
+def test_small_chunks_stay_few(spark):
+    """The number of chunks, whose cuts reach the driver, does not grow with the rows."""
+    df = spark.range(20_000).select(F.lit("s").alias("k"), F.col("id").alias("i"))
+    cut = by_chunks(df, ["k"], ["i"], lambda d, chunk: nearest(d, chunk).withColumn(
+        "at", F.col(chunk) if chunk else F.lit(None)), chunk_rows=10).cache()
+    assert cut.select("at").distinct().count() <= 512
+    same = nearest(df, None).exceptAll(cut.drop("at"))
+    assert cut.count() == 20_000 and same.isEmpty()
