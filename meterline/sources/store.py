@@ -54,18 +54,19 @@ def first_copies(turns: DataFrame) -> DataFrame:
 
     Arrival is the number of the ingest, then the line. Only key and place are combined, one
     candidate per key and task; whole rows move once, to the places that were chosen, and a
-    key with many copies can be split there.
+    key with many copies can be split there. Keys begin alike, which makes them slow to sort;
+    their hashes go before them.
     """
     place = F.struct(
         F.col("month") if "month" in turns.columns else month_of(F.col("ts_raw")),
         *[F.col(c) for c in ("ingest", "seq") if c in turns.columns], F.xxhash64(*turns.columns))
-    keyed = turns.withColumn("_key", event_key()).withColumn("_place", place)
-    first = keyed.groupBy("_key").agg(F.min("_place").alias("_first")).withColumnRenamed("_key", "_k")
+    keyed = turns.withColumn("_key", event_key()).withColumns({"_hash": F.xxhash64("_key"), "_place": place})
+    first = keyed.groupBy("_hash", "_key").agg(F.min("_place").alias("_first")).withColumnsRenamed({"_hash": "_h", "_key": "_k"})
     # No place is smaller than the first: joining on the key alone leaves the rows where the
     # last step wants them. Rows equal in every column are one.
-    found = keyed.join(first, (F.col("_key") == F.col("_k")) & (F.col("_place") <= F.col("_first")),
-                       "left_semi")
-    return found.dropDuplicates(["_key"]).drop("_key", "_place")
+    found = keyed.join(first, (F.col("_hash") == F.col("_h")) & (F.col("_key") == F.col("_k"))
+                       & (F.col("_place") <= F.col("_first")), "left_semi")
+    return found.dropDuplicates(["_hash", "_key"]).drop("_hash", "_key", "_place")
 
 
 def dedupe_counts(turns: DataFrame) -> DataFrame:
@@ -76,19 +77,25 @@ def dedupe_counts(turns: DataFrame) -> DataFrame:
 
 def reconcile(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     """Fresh turns whose key the store lacks; repeats within the batch count once."""
-    once = first_copies(fresh).withColumn("_k", event_key())
-    return once.join(stored.select(event_key().alias("_have")), F.col("_k") == F.col("_have"),
-                     "left_anti").drop("_k")
+    once = first_copies(fresh).withColumn("_k", event_key()).withColumn("_h", F.xxhash64("_k"))
+    have = stored.select(event_key().alias("_have")).withColumn("_hash", F.xxhash64("_have"))
+    return once.join(have, (F.col("_h") == F.col("_hash")) & (F.col("_k") == F.col("_have")),
+                     "left_anti").drop("_h", "_k")
 
 
 def reconcile_months(fresh: DataFrame, path: str) -> DataFrame:
-    """``reconcile`` with the stored months that the fresh turns lie in.
+    """``reconcile`` with the stored turns of the time that the fresh turns cover.
 
-    The stamp is part of the key, so other months need not be read.
+    The stamp is part of the key, so other months, and row groups of other times, need not be
+    read. Where a fresh turn has no month, whole months are.
     """
     spark = fresh.sparkSession
-    months = [r[0] for r in fresh.select(month_of(F.col("ts_raw")).alias("m")).distinct().collect()]
-    return reconcile(fresh, scan(spark, path).filter(F.col("month").isin(months)))
+    spans = fresh.groupBy(month_of(F.col("ts_raw")).alias("m")).agg(
+        F.min("ts_raw").alias("lo"), F.max("ts_raw").alias("hi")).collect()
+    stored = scan(spark, path).filter(F.col("month").isin([r["m"] for r in spans]))
+    if spans and all(r["m"] != UNDATED for r in spans):
+        stored = stored.filter(F.col("ts_raw").between(min(r["lo"] for r in spans), max(r["hi"] for r in spans)))
+    return reconcile(fresh, stored)
 
 
 def is_sample() -> Column:

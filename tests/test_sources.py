@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from meterline.cluster import get_session  # noqa: F401
 from meterline.operators.attribution import Topology
+from meterline.schema import conform
 from meterline.sources import logs as L
 from meterline.sources import native as N
 from meterline.sources import store as S
@@ -126,3 +127,22 @@ def test_full_sync_twice_writes_once(spark, tmp_path):
     again = {r["provider"]: r for r in S.sync(spark, sources, path, full=True).collect()}
     assert first["bad"]["error"].startswith("OSError") and not first["bad"]["ok"]
     assert again["p"]["written"] == 0 and again["p"]["read"] == 25
+
+
+def test_reconcile_reads_the_time_of_the_fresh_turns(spark, tmp_path):
+    """Turns of other times are not compared; missing, empty and odd stamps still find their copies."""
+    stamps = ["2024-01-01T00:00:00Z", "2024-01-15T00:00:00Z", "2024-01-15T12:00:00Z", "2024-02-01T00:00:00Z", None, "", "odd"]
+
+    def made(rows):
+        return conform(spark.createDataFrame(rows, "ts_raw string, session string, seq long"))
+
+    path = str(tmp_path / "store")
+    S.append(made([(t, "a", i) for i, t in enumerate(stamps)]), path)
+    fresh = made([(t, s, i) for i, t in enumerate(stamps[1:]) for s in "ab"])
+    got = S.reconcile_months(fresh, path)
+    assert sorted((r["ts_raw"] or "", r["session"]) for r in got.collect()) == sorted(
+        (t, "b") for t in {t or "" for t in stamps[1:]})
+    dated = fresh.filter("ts_raw like '2024-%'")
+    assert sorted(r["ts_raw"] for r in S.reconcile_months(dated, path).collect()) == stamps[1:4]
+    plan = S.reconcile_months(dated, path)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts_raw,2024-01-15T00:00:00Z)" in plan
