@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterline.cluster import scratch_path
+from meterline.cluster import scratch_path, write_and_read
 from meterline.functions.clock import epoch_to_iso
 from meterline.schema import event_key
 from meterline.sources import logs as L
@@ -378,19 +378,19 @@ def grow(spark, lines, path, keep):
         fs.rename(f.getPath(), at(f"{path}/log{name}"))
 
 
-def bytes_of(lines, keep):
-    return lines.filter(keep).agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0]
-
-
 def read_in_pieces(spark, lines, shape, pieces=5, bytes_per_task=1 << 20):
-    """Turns of logs that grew between ``pieces`` ingests, and what every ingest reports."""
+    """Turns of logs that grew between ``pieces`` ingests, and what every ingest reports.
+
+    The lines are made once; every piece is written from their stored copy.
+    """
     path, store = scratch_path(spark, "logs"), scratch_path(spark, "store")
     logs = GrowingLogs("disk", [f"{path}/*"], shape, TOPOLOGY, store, bytes_per_task=bytes_per_task)
+    lines = write_and_read(lines, "lines")
     last, reports, before = lines.agg(F.max("line")).first()[0], [], 0
-    for piece in range(1, pieces + 1):
-        keep = f"line <= {last * piece // pieces}"
+    keeps = [f"line <= {last * piece // pieces}" for piece in range(1, pieces + 1)]
+    sizes = lines.agg(*[F.coalesce(F.sum(F.when(F.expr(keep), F.octet_length("value") + 1)), F.lit(0)) for keep in keeps]).first()
+    for piece, (keep, now) in enumerate(zip(keeps, sizes), 1):
         grow(spark, lines, path, keep)
-        now = bytes_of(lines, keep)
         reports.append((f"piece {piece}", now - before, logs.sync(spark)))
         before = now
     reports.append(("nothing new", 0, logs.sync(spark)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterline.cluster import scratch_path
+from meterline.cluster import scratch_path, write_and_read
 from meterline.schema import conform
 from meterline.sources import native as N
 from meterline.sources import store as S
@@ -66,7 +66,7 @@ def x01(spark, sf):
 @query("x01_log_stream", RESUMED_SQL)
 def x01_logs(spark, sf):
     """Logs drop and grow between three triggers of one stream; the turns are those of the whole logs."""
-    lines = rollout_lines(spark, sf)
+    lines = write_and_read(rollout_lines(spark, sf), "lines")  # made once, written with every piece
     path, store, mark = (scratch_path(spark, n) for n in ("logs", "store", "mark"))
     logs = GrowingLogs("disk", [f"{path}/*"], N.ROLLOUT, TOPOLOGY, store)
     last = lines.agg(F.max("line")).first()[0]
