@@ -210,12 +210,25 @@ def day_metrics() -> dict[str, Column]:
 
 
 def histograms(sliced: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """Counts per (slice, date, metric, bucket); ``kept`` limits it to published slices."""
-    entries = [F.struct(F.lit(m).alias("metric"), bucket(
-        v.cast("double"), log_edges(*HIST_RANGES[m])).alias("bucket"))
-        for m, v in day_metrics().items()]
-    out = sliced.select("slice", "date", F.explode(F.array(*entries)).alias("e")).groupBy(
-        "slice", "date", "e.metric", "e.bucket").agg(F.count("*").alias("n"))
+    """Counts per (slice, date, metric, bucket); ``kept`` limits it to published slices.
+
+    A value's bucket is searched for in one list of all edges, in five halvings, so the code
+    stays short enough to be compiled whatever the number of measures.
+    """
+    names, room = list(HIST_RANGES), 32
+    assert HIST_BUCKETS <= room
+    edges = F.lit([e for m in names for e in log_edges(*HIST_RANGES[m]) + [float("inf")] * (room - HIST_BUCKETS)])
+    values = day_metrics()
+    rows = sliced.select("slice", "date", F.posexplode(F.array(*[values[m].cast("double") for m in names])).alias("m", "x")) \
+        .withColumn("at", F.col("m") * room)
+    step = room // 2
+    while step:
+        # A null is above no edge.
+        rows = rows.withColumn("at", F.col("at") + F.when(F.col("x") >= F.get(edges, F.col("at") + step), step).otherwise(0))
+        step //= 2
+    out = rows.groupBy("slice", "date", "m", F.least(F.col("at") - F.col("m") * room, F.lit(HIST_BUCKETS - 1)).alias("bucket")) \
+        .agg(F.count("*").alias("n")).select(
+        "slice", "date", F.get(F.lit(names), F.col("m")).alias("metric"), "bucket", "n")
     if kept is None:
         return out
     return out.join(kept.select("slice", "date"), ["slice", "date"], "left_semi")

@@ -91,3 +91,22 @@ def test_person_days_are_summed_once(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Aggregate" not in plan
     assert found.agg(F.sum("turns")).first()[0] == 300 and found.count() == 5 * 7
+
+
+def test_histograms_find_each_value_in_one_list_of_edges(spark):
+    """As by comparing with every edge, but with a few comparisons in the plan instead of 300."""
+    metric, low, high = "turns", *K.HIST_RANGES["turns"]
+    edges = K.log_edges(low, high)
+    values = [None, 0, 1, 2, 3, 5, 8, 1000, 4999, 5000, 5001, 10**9, *[int(e) + d for e in edges for d in (0, 1)]]
+    zeros = [F.lit(0).cast("long").alias(c) for c in (*K.FLAT_SUMS, "peak_context", "models_used", "switch_sessions")
+             if c != metric]
+    facts = spark.createDataFrame([("all", "2024-01-01", v) for v in values], "slice string, date string, turns long") \
+        .select("*", *zeros)
+    out = K.histograms(facts)
+    got = {r["bucket"]: r["n"] for r in out.filter(F.col("metric") == metric).collect()}
+    want = {}
+    for v in values:
+        at = max(sum((v or 0) >= e for e in edges) - 1, 0)
+        want[at] = want.get(at, 0) + 1
+    assert got == want and {r["metric"] for r in out.collect()} == set(K.HIST_RANGES)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 30
