@@ -77,10 +77,11 @@ def dedupe_counts(turns: DataFrame) -> DataFrame:
 
 def reconcile(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     """Fresh turns whose key the store lacks; repeats within the batch count once."""
-    once = first_copies(fresh).withColumn("_k", event_key()).withColumn("_h", F.xxhash64("_k"))
+    # What is stored goes first: only new turns are compared with each other.
     have = stored.select(event_key().alias("_have")).withColumn("_hash", F.xxhash64("_have"))
-    return once.join(have, (F.col("_h") == F.col("_hash")) & (F.col("_k") == F.col("_have")),
-                     "left_anti").drop("_h", "_k")
+    new = fresh.withColumn("_k", event_key()).withColumn("_h", F.xxhash64("_k")).join(
+        have, (F.col("_h") == F.col("_hash")) & (F.col("_k") == F.col("_have")), "left_anti")
+    return first_copies(new.drop("_h", "_k"))
 
 
 def reconcile_months(fresh: DataFrame, path: str) -> DataFrame:

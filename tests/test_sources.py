@@ -146,3 +146,20 @@ def test_reconcile_reads_the_time_of_the_fresh_turns(spark, tmp_path):
     assert sorted(r["ts_raw"] for r in S.reconcile_months(dated, path).collect()) == stamps[1:4]
     plan = S.reconcile_months(dated, path)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts_raw,2024-01-15T00:00:00Z)" in plan
+
+
+def test_only_new_turns_are_compared_with_each_other(spark, monkeypatch):
+    """Turns that the store holds are gone before the first copies are looked for."""
+    row = lambda t, i: (f"2024-01-0{t}T00:00:00Z", i, "p", "s")
+    turns = lambda rows: conform(spark.createDataFrame(
+        rows, "ts_raw string, seq long, provider string, session string"))
+    fresh, stored = turns([row(1, 1), row(1, 2), row(2, 3), row(3, 5), row(3, 4)]), turns([row(1, 9), row(2, 8)])
+    seen, first = [], S.first_copies
+
+    def watched(df):
+        seen.append(sorted(r["seq"] for r in df.collect()))
+        return first(df)
+
+    monkeypatch.setattr(S, "first_copies", watched)
+    assert [r["seq"] for r in S.reconcile(fresh, stored).collect()] == [4]
+    assert seen == [[4, 5]]
